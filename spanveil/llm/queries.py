@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanveil.llm.decontaminate import OP10_SQL, op10_decontamination
 from spanveil.llm.licenses import op4_license_scan
 from spanveil.llm.simhash import op9_simhash_neardup
+from spanveil.llm.tokenfiles import op5_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
+    "op5_token_files": op5_token_files,
     "op9_simhash_neardup": op9_simhash_neardup,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontamination": OP10_SQL,
+}
