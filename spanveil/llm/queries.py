@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from spanveil.llm.decontaminate import OP10_SQL, op10_decontamination
 from spanveil.llm.licenses import op4_license_scan
 from spanveil.llm.simhash import op9_simhash_neardup
+from spanveil.llm.substrings import OP2_SQL, op2_substring_dedup
 from spanveil.llm.tokenfiles import op5_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_token_files": op5_token_files,
     "op9_simhash_neardup": op9_simhash_neardup,
@@ -19,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
     "op10_decontamination": OP10_SQL,
 }
