@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanveil.llm.chat import OP1_SQL, op1_chat_format
 from spanveil.llm.decontaminate import OP10_SQL, op10_decontamination
+from spanveil.llm.extract import op7_html_extract
 from spanveil.llm.licenses import op4_license_scan
 from spanveil.llm.mixing import op8_source_mix
 from spanveil.llm.neighbours import op3_nearest_neighbours
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_token_files": op5_token_files,
     "op6_toxicity": op6_toxicity,
+    "op7_html_extract": op7_html_extract,
     "op8_source_mix": op8_source_mix,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_decontamination": op10_decontamination,
