@@ -45,6 +45,8 @@ LEVELS = 4
 #: Least log-likelihood ratio and least precision of a term of the vocabulary.
 MIN_LLR = 15.0
 MIN_PRECISION = 0.8
+#: Least number of toxic examples with a term's word or prefix.
+MIN_DOCUMENTS = 3
 SHRINK = 1.0
 _U = np.uint64
 
@@ -203,9 +205,17 @@ def fit(ids: np.ndarray, toxic: np.ndarray, texts: pa.Array, share: float) -> Mo
     nothing = Model(np.zeros(0, _U), np.zeros((0, LEVELS), np.int64), np.zeros(0), None, 0.0, offset if share else -np.inf)
     if len(set(toxic.tolist())) < 2:
         return nothing
-    parts = [(d + c.first, f, n) for c, d, f, n in counted(texts)]
-    doc, base, count = (np.concatenate(x) for x in zip(*parts))
-    bases, number = np.unique(base, return_inverse=True)
+    # Only words and prefixes of some toxic examples can become terms; the rest is left out as it is read.
+    seen, often = np.unique(np.concatenate([f for _, _, f, _ in counted(texts.filter(pa.array(toxic == 1)))]), return_counts=True)
+    bases = seen[often >= MIN_DOCUMENTS]
+    if not len(bases):
+        return nothing
+    parts = []
+    for c, d, f, n in counted(texts):
+        at = np.minimum(np.searchsorted(bases, f), len(bases) - 1)
+        mine = bases[at] == f
+        parts.append((d[mine] + c.first, at[mine], n[mine]))
+    doc, number, count = (np.concatenate(x) for x in zip(*parts))
     # A term is a base at a level of frequency that the text reaches.
     doc, term = (np.concatenate(x) for x in zip(*[(doc[count > n], number[count > n] * LEVELS + n) for n in range(LEVELS)]))
     size = len(bases) * LEVELS
