@@ -250,11 +250,11 @@ def train(examples: list[tuple[list[Block], list[bool]]], rounds: int = 120, rid
 
 def labelled_blocks(pieces: list[tuple[str, bool]]) -> tuple[list[Block], list[bool]]:
     """The blocks of a labelled page: a mark of one letter at the front of each main text tells them."""
-    page = "".join(re.sub(r"(>|^)([^<>]*[^<>\s][^<>]*)", lambda m: m[1] + "" + m[2], x) if main else x for x, main in pieces)
+    page = "".join(re.sub(r"(>|^)([^<>]*[^<>\s][^<>]*)", lambda m: m[1] + "\ue000" + m[2], x) if main else x for x, main in pieces)
     blocks = leaf_blocks(page)
-    labels = ["" in b.text for b in blocks]
+    labels = ["\ue000" in b.text for b in blocks]
     for b in blocks:
-        b.text = b.text.replace("", "")
+        b.text = b.text.replace("\ue000", "")
         b.linked = min(b.linked, len(b.text))
     keep = [i for i, b in enumerate(blocks) if b.text]
     return [blocks[i] for i in keep], [labels[i] for i in keep]
