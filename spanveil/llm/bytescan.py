@@ -46,7 +46,7 @@ class Powers:
     def __init__(self, multiplier: int):
         self.m = multiplier | 1
         self.inverse = pow(self.m, -1, 1 << 64)
-        self.n = 0
+        self.n, self.up, self.down = 0, np.zeros(0, _U), np.zeros(0, _U)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:

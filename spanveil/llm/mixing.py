@@ -135,8 +135,20 @@ def mixed(documents: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_c
         pdf = pdf.sort_values("size", kind="stable")
         total, goal = int(pdf["source_size"].iat[0]), float(pdf["target"].iat[0])
         base = min(int(goal // total), mix.cap) if total else 0
-        extra = fit(pdf["size"].to_numpy(), pdf["n"].to_numpy(), goal - base * total, mix.seed) if base < mix.cap and total else np.zeros(len(pdf), np.int64)
-        return pdf[["_source", "size", "n", "source_size", "target"]].assign(base=base, extra=extra)
+        size, n = pdf["size"].to_numpy(), pdf["n"].to_numpy()
+        extra = np.zeros(len(pdf), np.int64)
+        if base < mix.cap and total:
+            # One more copy of some documents; where these cannot fill the budget, further copies up to the cap.
+            extra = fit(size, n, goal - base * total, mix.seed)
+            left = goal - base * total - int((extra * size).sum())
+            if base + 1 < mix.cap and left >= 1:
+                extra = extra + fit(size, np.where(size > 0, n * (mix.cap - base) - extra, 0), left, mix.seed)
+            # A document that overshoots by less than what is missing comes nearer.
+            left = goal - base * total - int((extra * size).sum())
+            gain = np.where((n * (mix.cap - base) > extra) & (size > 0), left - np.abs(left - size), 0)
+            if gain.max() > 0:
+                extra[gain.argmax()] += 1
+        return pdf[["_source", "size", "n", "source_size", "target"]].assign(base=(base + extra // n).astype(np.int32), extra=extra % n)
 
     planned = scratch.written(histogram.join(aims, "_source").groupBy("_source").applyInPandas(plan, "_source string, size long, n long, source_size long, target double, base int, extra long"), "mix-plan")
     planned = planned.withColumn("buckets", F.when((F.col("extra") > 0) & (F.col("extra") < F.col("n")), F.ceil(F.col("n") / BUCKET)).otherwise(1))
