@@ -18,14 +18,13 @@ HONORIFICS = r"(?iu)^(?:don|doña|dña\.?|d\.ª?|sr\.?|sra\.?|srta\.?|dr\.?|dra\
 LEGAL_SUFFIX = r"(?iu)[\s,]+(?:s\.?l\.?u?\.?|s\.?a\.?u?\.?|s\.?l\.?l\.?|s\.?c\.?|s\.?coop\.?|c\.?b\.?)$"
 
 
-@F.pandas_udf("string")
-def _form(texts: pd.Series, forms: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else unicodedata.normalize(f, t) for t, f in zip(texts, forms)])
+def unicode_form(x: Column, form: str = "NFKC") -> Column:
+    """The Unicode form, by an Arrow function; the JVM has none."""
 
+    def normalize(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else unicodedata.normalize(form, t) for t in texts])
 
-def unicode_form(x: Column, form: str = "NFKC") -> Column:
-    """The Unicode form; texts of ASCII only never leave the JVM's result."""
-    return F.when(x.rlike(r"^[\x00-\x7F]*$"), x).otherwise(_form(x, F.lit(form)))
+    return F.pandas_udf(normalize, "string")(x)
 
 
 def newlines(x: Column) -> Column:
