@@ -31,13 +31,16 @@ from spanveil.llm import scratch
 
 PROJECTIONS = 48
 SHARD = 8192
-BLOCK = 1024
+BLOCK = 256
 K = 10
 #: Share of directions in which a vector must collide.
 THRESHOLD = 0.7
 #: Half width of a window by radius, in standard deviations of a projected difference of that length.
 WIDTH = 1.4
-GROWTH = 1.15
+GROWTH = 1.2
+#: Vectors of a shard that set the first radius, and its share of the least distance to them.
+SAMPLE = 64
+START = 0.7
 
 
 def directions(dim: int, n: int = PROJECTIONS, seed: int = 11) -> np.ndarray:
@@ -51,42 +54,47 @@ class Shard:
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
         self.axes = directions(vectors.shape[1])
-        values = vectors @ self.axes
-        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.take_along_axis(values, self.order.T.astype(np.int64), 0).T.copy()
-        self.need = int(np.ceil(THRESHOLD * self.axes.shape[1]))
-
-    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and exact distances of verified vectors, at least the k best found."""
-        n, m = len(self.vectors), self.axes.shape[1]
-        at = query @ self.axes
-        scale = WIDTH / np.sqrt(len(query))
-        lo = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at)])
+        values = (vectors @ self.axes).T
+        self.order = np.argsort(values, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(values, self.order, 1)
+        self.need = int(np.ceil(THRESHOLD * len(values)))
+        self.sample = vectors[np.random.default_rng(len(vectors)).permutation(len(vectors))[:SAMPLE]]
+
+    def distances(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return np.sqrt(((self.vectors[rows] - query) ** 2).sum(1))
+
+    def search(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per query the rows and exact distances of verified vectors, at least k of them."""
+        n, m = len(self.vectors), len(self.sorted)
+        at = queries @ self.axes
+        scale = WIDTH / np.sqrt(queries.shape[1])
+        # Windows begin a little under the distance of the nearest of a few vectors: no answer depends on it, only the rounds.
+        radius = np.array([START * np.sqrt(((self.sample - q) ** 2).sum(1).min()) for q in queries]) + 1e-9
+        lo = np.stack([np.searchsorted(self.sorted[j], at[:, j]) for j in range(m)], 1)
         hi = lo.copy()
-        counts = np.zeros(n, np.int16)
-        verified = np.zeros(n, bool)
-        distance = np.full(n, np.inf)
-        # The first radius: where the windows hold about k vectors.
-        near = np.minimum(np.abs(self.sorted[np.arange(m), np.clip(lo + k, 0, n - 1)] - at), np.abs(self.sorted[np.arange(m), np.clip(lo - k, 0, n - 1)] - at))
-        radius = max(float(np.median(near)) / scale, 1e-9)
-        while True:
-            half = radius * scale
-            for j in range(m):
-                a, b = np.searchsorted(self.sorted[j], (at[j] - half, np.nextafter(at[j] + half, np.inf)))
-                if a < lo[j]:
-                    counts[self.order[j, a : lo[j]]] += 1
-                    lo[j] = a
-                if b > hi[j]:
-                    counts[self.order[j, hi[j] : b]] += 1
-                    hi[j] = b
-            new = np.flatnonzero((counts >= self.need) & ~verified)
-            verified[new] = True
-            distance[new] = np.sqrt(((self.vectors[new] - query) ** 2).sum(1))
-            found = distance[verified]
-            if len(found) == n or (len(found) >= k and np.partition(found, k - 1)[k - 1] <= radius):
-                rows = np.flatnonzero(verified)
-                return rows, distance[rows]
-            radius *= GROWTH
+        counts = np.zeros((len(queries), n), np.int64)
+        out: list = [None] * len(queries)
+        rest = np.arange(len(queries))
+        while len(rest):
+            half = radius[rest] * scale
+            a = np.stack([np.searchsorted(self.sorted[j], at[rest, j] - half, "left") for j in range(m)], 1)
+            b = np.stack([np.searchsorted(self.sorted[j], at[rest, j] + half, "right") for j in range(m)], 1)
+            stay = []
+            for i, q in enumerate(rest.tolist()):
+                new = [self.order[j, x:y] for j, x, y in zip(range(m), a[i].tolist(), np.maximum(lo[q], a[i]).tolist())]
+                new += [self.order[j, x:y] for j, x, y in zip(range(m), hi[q].tolist(), b[i].tolist())]
+                counts[q] += np.bincount(np.concatenate(new), minlength=n)
+                rows = np.flatnonzero(counts[q] >= self.need)
+                if len(rows) >= k:
+                    d = self.distances(rows, queries[q])
+                    if len(rows) == n or np.partition(d, k - 1)[k - 1] <= radius[q]:
+                        out[q] = (rows, d)
+                        continue
+                stay.append(q)
+            lo[rest], hi[rest] = np.minimum(lo[rest], a), np.maximum(hi[rest], b)
+            rest = np.array(stay, np.int64)
+            radius[rest] *= GROWTH
+        return out
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -117,8 +125,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
                 continue
             index, ids = Shard(np.stack(mine["v"].to_numpy())), mine["ids"].to_numpy()
             # A query may meet itself, so one vector more.
-            for query_id, q in zip(group["query_id"], group["q"]):
-                found, distance = index.search(np.asarray(q, float), min(k + 1, len(mine)))
+            found_by = index.search(np.stack(group["q"].to_numpy()), min(k + 1, len(mine)))
+            for query_id, (found, distance) in zip(group["query_id"], found_by):
                 best = np.lexsort((found, distance))
                 cut = distance[best[min(k, len(best) - 1)]]
                 best = best[distance[best] <= cut]
