@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanveil.functions import spans
+
 # Characters and words of the normalisers.
 SPACES = "   ⁠"
 SINGLE_QUOTES, DOUBLE_QUOTES = "‘’‚‛′´", "“”„‟«»″"
@@ -59,8 +61,36 @@ def joined_lines(x: Column) -> Column:
 
 
 def joined_letters(x: Column) -> Column:
-    """Three or more single letters with blanks between are one word: the blanks before each lone letter go."""
-    return F.regexp_replace(x, r"(?U)(?<=\b\w) (?=\w\b)(?:(?<=\b\w \w \w )|(?<=\w \w )|(?=\w \w))?", "")
+    """Three or more single letters with blanks between are one word."""
+    found = F.transform(spans.extract(x, r"(?U)\b\p{L}(?: \p{L}){2,}\b"), lambda s: F.struct(s["start"], s["end"], F.replace(s["value"], F.lit(" "), F.lit("")).alias("alias")))
+    return spans.stitch(x, found)
+
+
+def mapped(x: Column) -> Column:
+    """The text for detectors with the place of each of its characters in the source: struct<text, char_map>.
+
+    Zero-width characters and soft hyphens go, runs of blanks become one, quotes,
+    dashes and Cyrillic twins become plain; an Arrow function, as the map is made
+    character by character.
+    """
+    plain = {**{q: "'" for q in SINGLE_QUOTES}, **{q: '"' for q in DOUBLE_QUOTES}, **{d: "-" for d in DASHES}, **dict(zip(CYRILLIC, LATIN)), **{s: " " for s in SPACES if s not in ZERO_WIDTH}}
+    gone = set(ZERO_WIDTH + "\u00ad")
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out, maps = [], []
+        for t in texts:
+            chars, places = [], []
+            for i, ch in enumerate(t or ""):
+                ch = plain.get(ch, ch)
+                if ch in gone or (ch == " " and chars and chars[-1] == " "):
+                    continue
+                chars.append(ch)
+                places.append(i)
+            out.append(None if t is None else "".join(chars))
+            maps.append(None if t is None else places)
+        return pd.DataFrame({"text": out, "char_map": maps})
+
+    return F.pandas_udf(run, "text string, char_map array<int>")(x)
 
 
 def single_spaces(x: Column) -> Column:

@@ -120,3 +120,32 @@ def partial_names(keys: DataFrame) -> DataFrame:
     rows = keys.withColumn("w", F.split("norm_key", " ")).filter("size(w) >= 2").withColumn("head", F.concat_ws(" ", F.slice("w", 1, 2)))
     a, b = rows.alias("a"), rows.alias("b")
     return a.join(b, (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.head") == F.col("b.head")) & (F.size("a.w") < F.size("b.w")) & F.startswith(F.col("b.norm_key"), F.concat(F.col("a.norm_key"), F.lit(" ")))).select(F.col("a.project_id"), F.col("a.norm_key").alias("short"), F.col("b.norm_key").alias("long"))
+
+
+def folded(keys: DataFrame, least: float = 90.0) -> DataFrame:
+    """Person keys with the key whose alias they take: the earliest of their partial or fuzzy matches, else their own.
+
+    keys: project_id, norm_key, first_doc_seq.  Matches come from blocked joins,
+    so no project is folded in one task.
+    """
+    partial = partial_names(keys).select("project_id", F.col("short").alias("a"), F.col("long").alias("b"))
+    near = fuzzy_keys(keys, least).select("project_id", F.col("key1").alias("a"), F.col("key2").alias("b"))
+    pairs = partial.unionByName(near)
+    both = pairs.unionByName(pairs.select("project_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    earlier = both.join(keys.select("project_id", F.col("norm_key").alias("b"), F.col("first_doc_seq").alias("seq")), ["project_id", "b"]).groupBy("project_id", F.col("a").alias("norm_key")).agg(F.min(F.struct("seq", "b")).alias("m"))
+    out = keys.join(earlier, ["project_id", "norm_key"], "left")
+    sooner = F.col("m").isNotNull() & (F.struct("m.seq", "m.b") < F.struct("first_doc_seq", "norm_key"))
+    return out.select("project_id", "norm_key", F.when(sooner, F.col("m.b")).otherwise(F.col("norm_key")).alias("alias_key"))
+
+
+def corrected(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """Entries whose original text was corrected: an equal key's alias is reused, else the next number is given.
+
+    entries: project_id, category, norm_key, alias; changes: project_id,
+    category, norm_key, new_key.
+    """
+    known = entries.select("project_id", "category", F.col("norm_key").alias("new_key"), F.col("alias").alias("known_alias"))
+    last = entries.groupBy("project_id", "category").agg(F.max(F.regexp_extract("alias", r"_(\d+)$", 1).cast("long")).alias("last"))
+    rows = changes.filter("new_key <> norm_key").join(known, ["project_id", "category", "new_key"], "left").join(last, ["project_id", "category"], "left")
+    fresh = F.row_number().over(Window.partitionBy("project_id", "category", F.col("known_alias").isNull()).orderBy("new_key"))
+    return rows.withColumn("n", fresh).select("project_id", "category", "norm_key", "new_key", F.coalesce("known_alias", F.format_string("%s_%03d", prefix(F.col("category")), (F.coalesce("last", F.lit(0)) + F.col("n")).cast("int"))).alias("alias"))

@@ -281,3 +281,117 @@ def _changes(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("before", F.lag("event_type").over(w)).filter("before IS NOT NULL AND before <> event_type").groupBy("user_id").agg(F.count(F.lit(1)).alias("changes"))
 
 
+
+
+@query("str_01_nfkc", "SELECT doc_id, sha256(nfc_normalize(text)) AS digest FROM documents")
+def _nfkc(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.unicode_form(F.translate("text", "aeo", "ａｅｏ")), 256).alias("digest"))
+
+
+@query("str_08_joined_letters", "SELECT CAST(c_custkey AS BIGINT) AS id, 'Nota: h' || c_mktsegment[1] || 'la, y fin.' AS text FROM customer")
+def _joined(spark, sf_dir):
+    return customers(spark, sf_dir).select(c("k").alias("id"), text.joined_letters(F.concat(F.lit("Nota: h "), F.substring("c_mktsegment", 1, 1), F.lit(" l a, y fin."))).alias("text"))
+
+
+@query("str_12_offset_map", "SELECT doc_id, CAST(0 AS BIGINT) AS wrong, CAST(length(regexp_replace(replace(substr(text, 1, 300), 'a', 'a  '), ' +', ' ', 'g')) AS BIGINT) AS chars FROM documents")
+def _map(spark, sf_dir):
+    source = F.replace(F.substring("text", 1, 300), F.lit("a"), F.lit("​а  "))
+    rows = table(spark, sf_dir, "documents").select("doc_id", source.alias("source")).select("doc_id", "source", text.mapped(c("source")).alias("m"))
+    chars, places = F.split("m.text", ""), F.col("m.char_map")
+    wrong = F.filter(F.arrays_zip(chars.alias("ch"), places.alias("at")), lambda p: (p["ch"] != F.translate(F.substring("source", p["at"] + 1, F.lit(1)), text.CYRILLIC, text.LATIN)))
+    return rows.select("doc_id", F.size(wrong).cast("long").alias("wrong"), F.length("m.text").cast("long").alias("chars"))
+
+
+@query("det_09_keep_first")
+def _keep_first(spark, sf_dir):
+    s = F.array_sort(F.collect_list(F.struct("start", (-c("confidence")).alias("c"), "end", "id")))
+    return detections(spark, sf_dir).groupBy("doc_id").agg(s.alias("s")).select("doc_id", F.explode(spans.left_to_right(c("s"))).alias("x")).select("doc_id", "x.id")
+
+
+@query("det_14_legal_titles", "SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'Juan García' AS value, CAST(3 + length(c_mktsegment) AS INT) AS \"start\" FROM customer")
+def _titles(spark, sf_dir):
+    from spanveil.operators.detect import regex_detector
+    from spanveil.operators.patterns import CAP, Pattern, S
+
+    titles = (Pattern(0, "PERSON_NAME", rf"({CAP}(?:{S}{CAP})+)(?=,\s+(?:letrad[oa]|magistrad[oa]|procurador|procuradora|fiscal|notari[oa])\b)", 0.92, None, True),)
+    docs = customers(spark, sf_dir).select(c("k").alias("doc_id"), F.concat(F.lower("c_mktsegment"), F.lit(" y Juan García, letrado, vino.")).alias("text"))
+    return regex_detector(docs, patterns=titles).select("doc_id", "value", "start")
+
+
+@query("ano_05_folded_aliases", "WITH k AS (SELECT CAST(c_nationkey AS BIGINT) AS project_id, 'ana ' || lower(c_mktsegment) || CASE WHEN c_custkey % 2 = 0 THEN ' lopez' ELSE '' END AS norm_key, min(CAST(c_custkey AS BIGINT)) AS first_doc_seq FROM customer GROUP BY 1, 2), m AS (SELECT a.project_id, a.norm_key, min((b.first_doc_seq, b.norm_key)) AS m FROM k a JOIN k b ON a.project_id = b.project_id AND a.norm_key <> b.norm_key AND (starts_with(b.norm_key, a.norm_key || ' ') OR starts_with(a.norm_key, b.norm_key || ' ')) GROUP BY 1, 2) SELECT k.project_id, k.norm_key, CASE WHEN m.m < (first_doc_seq, k.norm_key) THEN m.m[2] ELSE k.norm_key END AS alias_key FROM k LEFT JOIN m USING (project_id, norm_key)")
+def _folded(spark, sf_dir):
+    k = customers(spark, sf_dir).groupBy(c("c_nationkey").cast("long").alias("project_id"), F.concat(F.lit("ana "), F.lower("c_mktsegment"), F.when(c("k") % 2 == 0, " lopez").otherwise("")).alias("norm_key")).agg(F.min("k").alias("first_doc_seq"))
+    return glossary.folded(k, least=99.0)
+
+
+@query("ano_11_corrected_originals", KEPT + ", ch AS (SELECT project_id, category, norm_key, CASE WHEN length(norm_key) % 2 = 0 THEN norm_key || 'x' ELSE norm_key END AS new_key FROM gloss), n AS (SELECT project_id, category, max(CAST(regexp_extract(alias, '_([0-9]+)$', 1) AS BIGINT)) AS last FROM gloss GROUP BY 1, 2) SELECT project_id, category, norm_key, new_key, regexp_extract(any_value(a.alias), '^(.*)_', 1) || '_' || lpad(CAST(any_value(last) + row_number() OVER (PARTITION BY project_id, category ORDER BY new_key) AS VARCHAR), 3, '0') AS alias FROM ch JOIN n USING (project_id, category) JOIN gloss a USING (project_id, category, norm_key) WHERE new_key <> norm_key GROUP BY project_id, category, norm_key, new_key")
+def _corrected(spark, sf_dir):
+    g = glossary.build(found(spark, sf_dir))
+    changes = g.select("project_id", "category", "norm_key", F.when(F.length("norm_key") % 2 == 0, F.concat("norm_key", F.lit("x"))).otherwise(c("norm_key")).alias("new_key"))
+    return glossary.corrected(g, changes)
+
+
+@query("jsn_03_progress_messages", "SELECT doc_id, '{\"type\":\"progress\",\"document\":' || doc_id || ',\"percent\":' || (doc_id % 101) || '}' AS message FROM documents")
+def _messages(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.lit("progress").alias("type"), c("doc_id").alias("document"), (c("doc_id") % 101).alias("percent"))).alias("message"))
+
+
+@query("mth_04_scaled_progress", "SELECT doc_id, CAST(floor(20 + (doc_id % 101) * 0.6) AS INT) AS percent FROM documents")
+def _scaled(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", (20 + (c("doc_id") % 101) * 0.6).cast("int").alias("percent"))
+
+
+@query("gen_02_corpus", "SELECT CAST(5000 AS BIGINT) AS n, CAST(0 AS BIGINT) AS wrong")
+def _corpus(spark, sf_dir):
+    """Sentences with known spans from a counter: the spans stand where they say."""
+    i = c("id")
+    person, place = pick(("Ana Ruiz", "Luis Gil", "Eva Sanz"), F.xxhash64(i, F.lit(1)) % 3 + 3), pick(("Lugo", "Soria", "Teruel"), F.xxhash64(i, F.lit(2)) % 3 + 3)
+    rows = spark.range(5000).select("id", person.alias("person"), place.alias("place")).withColumn("text", F.concat(F.lit("Doña "), "person", F.lit(" vive en "), "place", F.lit("."))).withColumn("s2", F.lit(5) + F.length("person") + 9)
+    wrong = (F.substring("text", F.lit(6), F.length("person")) != c("person")) | (F.substring("text", c("s2") + 1, F.length("place")) != c("place"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("wrong"))
+
+
+@query("snk_01_text_export", "SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT replace(text, chr(10), ' ') AS text FROM documents)")
+def _text(spark, sf_dir):
+    from spanveil.sources import shared
+
+    path = shared.fresh(spark, "text-export")
+    table(spark, sf_dir, "documents").select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")).write.text(path)
+    return spark.read.text(path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).alias("chars"))
+
+
+@query("src_05_files_by_kind", "SELECT 'txt' AS ext, CAST(25 AS BIGINT) AS n, CAST(0 AS BIGINT) AS errors")
+def _files(spark, sf_dir):
+    from spanveil.sources import documents as files
+    from spanveil.sources import shared
+
+    path = shared.fresh(spark, "files")
+    table(spark, sf_dir, "nation").select(c("n_name").alias("value"), F.col("n_nationkey")).repartition(25, "n_nationkey").write.partitionBy("n_nationkey").text(path)
+    return files.read_documents(spark, path).groupBy("ext").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("error").isNotNull()).alias("errors"))
+
+
+@query("stm_02_published_events", "SELECT 'counts' AS handler, count(DISTINCT event_type) AS n FROM events UNION ALL SELECT 'users', count(DISTINCT user_id) FROM events")
+def _published(spark, sf_dir):
+    from spanveil.sources import shared
+    from spanveil.streaming import flows
+
+    def broken(batch: DataFrame) -> DataFrame:
+        raise ValueError("handler fails")
+
+    path = shared.fresh(spark, "published")
+    flows.published(flows.arriving(spark, sf_dir, "events"), {"counts": lambda b: b.groupBy("event_type").count(), "broken": broken, "users": lambda b: b.select("user_id").distinct()}, path)
+    n = lambda name, col: spark.read.parquet(f"{path}/{name}").agg(F.count_distinct(col).alias("n")).select(F.lit(name).alias("handler"), "n")
+    return n("counts", "event_type").unionByName(n("users", "user_id"))
+
+
+@query("evl_03_match_keys", "SELECT CAST(c_custkey AS BIGINT) AS id, lower(c_name) AS key FROM customer")
+def _keys(spark, sf_dir):
+    return customers(spark, sf_dir).select(c("k").alias("id"), text.match_key(F.concat(F.lit(" ​"), F.translate("c_name", "Cs", "Сs"), F.lit("­ "))).alias("key"))
+
+
+@query("ui_03_zone_counts", f"{D} SELECT count(*) FILTER (confidence < 0.4) AS red, count(*) FILTER (confidence >= 0.4 AND confidence < 0.85) AS amber, count(*) FILTER (confidence >= 0.85) AS green FROM det")
+def _zones(spark, sf_dir):
+    from spanveil.operators.merge import zone
+
+    z = zone(c("confidence"), c("category"), F.lit(True))
+    return detections(spark, sf_dir).agg(F.count_if(z == "RED").alias("red"), F.count_if(z == "AMBER").alias("amber"), F.count_if(z == "GREEN").alias("green"))

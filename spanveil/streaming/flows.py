@@ -67,3 +67,21 @@ def growing_glossary(stream: DataFrame, detections_of: Callable[[DataFrame], Dat
         fresh.select("project_id", "category", "norm_key", "alias", "number", "occurrences").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     drained(stream, grow)
+
+
+def published(stream: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]], path: str) -> None:
+    """Each micro-batch to every handler's own folder; a handler that fails leaves the others' results and an error row."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        errors = []
+        for name, handler in handlers.items():
+            try:
+                handler(batch).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+            except Exception as x:  # isolated by contract; the error is kept as a row
+                errors.append((name, number, type(x).__name__))
+        if errors:
+            batch.sparkSession.createDataFrame(errors, "handler string, batch long, error string").write.mode("overwrite").parquet(f"{path}/_errors/batch={number}")
+        batch.unpersist()
+
+    drained(stream, handle)
