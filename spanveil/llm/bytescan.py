@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: 1 for the bytes of ``[^\x20\x09-\x0D]``.
