@@ -89,9 +89,9 @@ _people(
 )
 QUERIES["chk_11_validator_dispatch"] = lambda spark, sf_dir: (
     people(spark, sf_dir).select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c(v).alias("value")) for k, v in (("DNI", "dni"), ("NIE", "nie"), ("IBAN", "iban"), ("NSS", "nss"), ("CIF", "cif"), ("EMAIL", "postal"))])).alias("x"))
-    .select("id", "x.kind", checks.valid_by_type(c("x.kind"), c("x.value")).alias("valid"))
+    .select("id", "x.kind", F.coalesce(checks.valid_by_type(c("x.kind"), c("x.value")).cast("string"), F.lit("none")).alias("valid"))
 )
-ORACLE_SQL["chk_11_validator_dispatch"] = f"WITH {PEOPLE_SQL} " + " UNION ALL ".join(f"SELECT id, '{k}' AS kind, {e} AS valid FROM people" for k, e in (("DNI", _DNI), ("NIE", _NIE), ("IBAN", _IBAN), ("NSS", _NSS), ("CIF", _CIF), ("EMAIL", "CAST(NULL AS BOOLEAN)")))
+ORACLE_SQL["chk_11_validator_dispatch"] = f"WITH {PEOPLE_SQL} " + " UNION ALL ".join(f"SELECT id, '{k}' AS kind, coalesce(CAST({e} AS VARCHAR), 'none') AS valid FROM people" for k, e in (("DNI", _DNI), ("NIE", _NIE), ("IBAN", _IBAN), ("NSS", _NSS), ("CIF", _CIF), ("EMAIL", "CAST(NULL AS BOOLEAN)")))
 
 
 def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every query of the library against its SQL, and the entry points."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from spanveil import queries
@@ -19,7 +20,7 @@ def con():
 
 def rows(df):
     columns = sorted(df.columns)
-    plain = lambda v: "null" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
+    plain = lambda v: "null" if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v) else f"{v:.9g}" if isinstance(v, float) else str(v)
     return columns, sorted(tuple(plain(v) for v in r) for r in df[columns].itertuples(index=False))
 
 
