@@ -12,6 +12,7 @@ from spanveil.functions import dates, spans, text
 from spanveil.operators import detect, glossary, merge, review
 from spanveil.plans.detections import D, DOCS_SQL, SIMPLE, detections, documents, found_sql, table
 from spanveil.plans.scalars import _DELTA, DATED_SQL, dated
+from spanveil.sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,7 +32,9 @@ def query(name: str, sql: str | None = None):
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mail, IP and card detections of documents, overlaps removed, with project and order."""
     docs = documents(spark, sf_dir)
-    return merge.without_overlaps(detect.native_detector(docs, SIMPLE)).join(docs.select("doc_id", "project_id", "doc_seq"), "doc_id")
+    rows = merge.without_overlaps(detect.native_detector(docs, SIMPLE)).join(docs.select("doc_id", "project_id", "doc_seq"), "doc_id")
+    # Glossary and replacement both read the detections: they are few, and made once.
+    return shared.written(rows, "detections")
 
 
 _P = glossary.PREFIXES
