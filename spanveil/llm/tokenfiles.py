@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,8 +48,10 @@ from spanveil.llm import bytescan, scratch
 NULL_ID = -(1 << 63)
 #: Entries of each of an encoder's two memos.
 MEMO = 300_000
-#: One run of Latin-1 letters, perhaps with a full stop or comma: two pieces for the pre-tokenizer at most.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Pieces of printable ASCII and Latin-1 letters only, which stay as they are but for case, and what the
+#: pre-tokenizer makes of them.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -68,29 +71,31 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo, self.cores = memo, {}
+        self.tokenize, self.pack = self.tokenizer.model.tokenize, lambda ids: struct.pack(f"<{len(ids)}{code}", *ids)
         self.letters = byte_letters()
         # The short way is taken only if it gives what the library gives.
         self.short = True
-        self.short = all(self.encode_piece(p.encode()) == self.slow(p) for p in ("straße", "Éeuxle", "wordings", "Ñandú.", "Then,"))
+        self.short = all(self.encode_piece(p.encode()) == self.slow(p) for p in ("straße", "Éeuxle", "it'S", "Ñandú.", "Then,", "a12(b)!!", "x''re"))
 
     def slow(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def core(self, word: str) -> bytes:
         """Ids of one piece of the pre-tokenizer, in lower case."""
         if (found := self.cores.get(word)) is None:
             written = "".join(map(self.letters.__getitem__, word.encode()))
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(written)], self.dtype).tobytes()
+            found = self.pack([t.id for t in self.tokenize(written)])
             if len(self.cores) < self.memo:
                 self.cores[word] = found
         return found
 
     def encode_piece(self, piece: bytes) -> bytes:
         text = piece.decode()
-        if self.short and (m := _PLAIN.fullmatch(text)):
-            return self.core(m[1].lower()) + (self.core(m[2]) if m[2] else b"")
+        if self.short and _PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.core, _SPLIT.findall(text.lower())))
         return self.slow(text)
 
     def __missing__(self, piece: bytes) -> bytes:
