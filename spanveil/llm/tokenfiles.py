@@ -36,6 +36,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -47,7 +48,7 @@ from spanveil.llm import bytescan, scratch
 
 NULL_ID = -(1 << 63)
 #: Entries of each of an encoder's two memos.
-MEMO = 300_000
+MEMO = 250_000
 #: Pieces of printable ASCII and Latin-1 letters only, which stay as they are but for case, and what the
 #: pre-tokenizer makes of them.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -108,6 +109,12 @@ class Encoder(dict):
         return b"".join([self[w] for w in text.split()])
 
 
+@lru_cache(1)
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of a worker process, with what earlier tasks left in its memos."""
+    return Encoder(path)
+
+
 def _local(uri: str) -> str | None:
     p = urlparse(uri)
     return p.path if p.scheme in ("", "file") else None
@@ -190,7 +197,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int = 1, folder:
     dtype = Encoder(tokenizer, 0).dtype
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             for c in bytescan.chunks(batch.column(1)):
