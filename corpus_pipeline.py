@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import decontaminate, mixing, scratch, simhash, tokenfiles, toxicity
+from spanveil.llm import decontaminate, mixing, nearcopies, scratch, tokenfiles, toxicity
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its group stays, of repeated rows one; rows without an id stay."""
-    marked = scratch.written(simhash.near_duplicates(docs), "near-duplicates")
+    """The document that names its group of near copies (5-gram Jaccard 0.8 or SimHash) stays, of repeated rows one; rows without an id stay."""
+    marked = scratch.written(nearcopies.near_copies(docs), "near-duplicates")
     gone = marked.filter("doc_id <> component_id").select("doc_id").distinct()
     repeated = marked.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     kept = docs.join(gone, "doc_id", "left_anti")

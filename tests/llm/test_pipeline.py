@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from spanveil.llm import decontaminate, simhash, toxicity
+from spanveil.llm import decontaminate, nearcopies, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +43,24 @@ def test_repeated_and_odd_rows_pass(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.filter("false"), SF).count() == 0, name
+
+
+def test_near_copies_go_at_four_fifths_of_their_shingles(spark):
+    words = [f"w{i}" for i in range(100)]
+    changed = lambda *at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(words))
+    texts = [changed(), changed(50), changed(30, 60), changed(20, 40, 80), " ".join(f"y{i}" for i in range(60))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.neardup_stage(spark, docs, SF).collect()) == [0, 3, 4]
+
+
+def test_near_copies_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: set(nearcopies.shingles((r.text or "").encode())[1].tolist()) for r in docs.collect()}
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()}
+    assert got.keys() == sets.keys()
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])):
+                n = len(sets[a] & sets[b])
+                assert 9 * n < 4 * (len(sets[a]) + len(sets[b])) or got[a] == got[b], (a, b)
