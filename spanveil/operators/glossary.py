@@ -107,12 +107,24 @@ def apply_changes(texts: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def fuzzy_keys(keys: DataFrame, least: float = 90.0) -> DataFrame:
-    """Pairs of person keys of a project whose Levenshtein ratio reaches the threshold; blocked on the first word or the last."""
-    words = keys.withColumn("b", F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.substring_index("norm_key", " ", 1)), F.concat(F.lit(">"), F.substring_index("norm_key", " ", -1))))))
-    a, b = words.alias("a"), words.alias("b")
-    ratio = 100 * (1 - F.levenshtein("a.norm_key", "b.norm_key") / F.greatest(F.length("a.norm_key"), F.length("b.norm_key")))
-    pairs = a.join(b, (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.b") == F.col("b.b")) & (F.col("a.norm_key") < F.col("b.norm_key")))
-    return pairs.select(F.col("a.project_id"), F.col("a.norm_key").alias("key1"), F.col("b.norm_key").alias("key2"), F.round(ratio, 4).alias("ratio")).filter(F.col("ratio") >= least).distinct()
+    """Pairs of person keys of a project whose Levenshtein ratio reaches the threshold.
+
+    The ratio allows ``e`` edits for the longer key.  Cut into ``e + 1`` pieces,
+    one of them stands unchanged in the other key, at most ``e`` places off.
+    """
+    rows = keys.select("project_id", "norm_key", F.length("norm_key").alias("m")).distinct()
+    edits = F.floor(F.col("n") * ((100 - least + 1e-4) / 100)).cast("int")
+    begin = lambda i: F.floor(i * F.col("n") / (F.col("e") + 1)).cast("int")
+    # Lengths of longer keys, with their edits and pieces.
+    lengths = rows.select("project_id", F.col("m").alias("n")).distinct().withColumn("e", edits)
+    pieces = lengths.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("e")))).withColumn("at", begin(F.col("i"))).withColumn("len", begin(F.col("i") + 1) - F.col("at"))
+    held = rows.withColumnRenamed("m", "n").join(pieces, ["project_id", "n"]).select("project_id", "n", "i", F.substring("norm_key", F.col("at") + 1, F.col("len")).alias("piece"), F.col("norm_key").alias("long"))
+    low, high = F.greatest(F.lit(0), F.col("at") - F.col("e")), F.least(F.col("m") - F.col("len"), F.col("at") + F.col("e"))
+    tried = rows.join(pieces, "project_id").filter((F.col("m") <= F.col("n")) & (F.col("n") - F.col("m") <= F.col("e")) & (low <= high)).withColumn("p", F.explode(F.sequence(low, high)))
+    probes = tried.select("project_id", "n", "i", F.substring("norm_key", F.col("p") + 1, F.col("len")).alias("piece"), F.col("norm_key").alias("short")).distinct()
+    pairs = held.join(probes, ["project_id", "n", "i", "piece"]).filter("long <> short").select("project_id", F.least("long", "short").alias("key1"), F.greatest("long", "short").alias("key2")).distinct()
+    ratio = 100 * (1 - F.levenshtein("key1", "key2") / F.greatest(F.length("key1"), F.length("key2")))
+    return pairs.withColumn("ratio", F.round(ratio, 4)).filter(F.col("ratio") >= least)
 
 
 def partial_names(keys: DataFrame) -> DataFrame:

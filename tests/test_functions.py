@@ -107,3 +107,33 @@ def test_files_by_kind(spark, tmp_path):
     out = {r.path.rsplit("/", 1)[1]: r for r in documents.read_documents(spark, str(tmp_path)).collect()}
     assert out["a.txt"].text == out["b.TXT"].text == "año" and out["c.docx"].text == "Uno\na | b"
     assert out["d.pdf"].error == "no extractor for pdf" and out["e.docx"].error.startswith("BadZipFile")
+
+
+def test_fuzzy_keys_find_all_pairs(spark):
+    import random
+
+    pick = random.Random(3)
+    keys = {"jose antonio fernandez lopez", "josé antonio fernandez lópez", "ab", "a", "ñandú gil"}
+    for _ in range(40):
+        key = " ".join("".join(pick.choice("abcé") for _ in range(pick.randint(2, 9))) for _ in range(pick.randint(1, 4)))
+        keys.add(key)
+        for _ in range(4):
+            at = pick.randrange(len(key))
+            key = key[:at] + pick.choice(["", "x", "xy"]) + key[at + pick.randint(0, 1) :]
+            keys.add(key)
+    keys = sorted(keys)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    ratios = {(a, b): round(100 * (1 - distance(a, b) / max(len(a), len(b))), 4) for i, a in enumerate(keys) for b in keys[i + 1 :]}
+    rows = spark.createDataFrame([(p, k) for p in (1, 2) for k in keys], "project_id long, norm_key string")
+    for least in (90.0, 75.0):
+        want = {(p, *pair) for p in (1, 2) for pair, r in ratios.items() if r >= least}
+        assert {(r.project_id, r.key1, r.key2) for r in glossary.fuzzy_keys(rows, least).collect()} == want
+    assert ratios["jose antonio fernandez lopez", "josé antonio fernandez lópez"] >= 90
