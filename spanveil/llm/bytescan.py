@@ -56,7 +56,9 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS = Powers(0x9E3779B97F4A7C15)
+#: Ways to hash words; all but the first are for sets in which words share a hash.
+BYTE_POWERS = tuple(map(Powers, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)))
+_BYTE_POWERS = BYTE_POWERS[0]
 _BYTE_VALUES = mix64(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
 
 
@@ -140,10 +142,10 @@ def scan(chunk: Chunk, table: np.ndarray) -> Words:
     return Words(starts, ends, np.searchsorted(starts, chunk.offsets))
 
 
-def word_hashes(chunk: Chunk, words: Words) -> np.ndarray:
+def word_hashes(chunk: Chunk, words: Words, way: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each word."""
-    sums = prefix_sums(_BYTE_VALUES[chunk.data], _BYTE_POWERS)
-    return range_hash(sums, words.starts, words.ends, _BYTE_POWERS)
+    sums = prefix_sums(_BYTE_VALUES[chunk.data], BYTE_POWERS[way])
+    return range_hash(sums, words.starts, words.ends, BYTE_POWERS[way])
 
 
 def hash_of(word: bytes) -> int:

@@ -1,28 +1,33 @@
 """Benchmark decontamination through one FM-index per training shard.
 
-A shard is one Arrow batch of documents.  Words (A-Z lowered,
-``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``) become symbols of the benchmark's
-vocabulary; words outside it cannot lie in an occurrence, so they separate runs,
-and runs shorter than the shortest test phrase are left out of the index.  The
-shard's Burrows-Wheeler transform is held in a wavelet matrix; all distinct
-test windows are searched backwards together, occurrences are located from
-sampled suffix positions, compared with the symbols found there, and merged
+A shard is a run of whole documents of an Arrow batch, of about ``SHARD_WORDS``
+words.  Words (A-Z lowered, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``) become
+symbols of the benchmark's vocabulary; words outside it cannot lie in an
+occurrence, so they separate runs, and runs shorter than the shortest test
+phrase are left out of the index.  The shard's Burrows-Wheeler transform is held
+in a wavelet matrix of packed bit planes; all distinct test windows are searched
+backwards together, occurrences are located from sampled suffix positions, the
+words found there are compared byte by byte with the benchmark's, and merged
 into removal spans.
 
-Scale: documents are never shuffled.  The test phrases are broadcast in blocks
-of at most ``BLOCK_BYTES`` of item text (a longer single item is its own
-block); each further block is one more pass over a written table, so any
-benchmark size keeps memory bounded.
+Scale: documents are never shuffled, and cutting happens in the pass that finds.
+The test phrases are broadcast in blocks of at most ``BLOCK_BYTES`` of item text
+(a longer single item is its own block) as one array of symbols and the places
+of the distinct windows in it; each further block is one more pass over a
+written table.  A shard's memory is bounded but for a single longer document.
 
 Defined cases: null texts have no words; items without words never occur; an
 item of fewer than ``window`` words is one window; a null item id is the empty
-string; repeated rows give repeated results; empty tables give empty results
-(no benchmark: nothing is hit); other columns are ignored.
+string; items of equal id are one item; very long texts are shards of their
+own, never cut; words that share a hash are told apart by their bytes; nothing
+here depends on an order, so there are no ties; repeated rows give repeated
+results; empty tables give empty results (no benchmark: nothing is hit); other
+columns stay, but for those named ``n_words``, ``spans`` and ``items``, which
+give way to the operator's in ``find_contamination``.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,34 +35,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import bytescan, scratch
+from spanveil.llm import bytescan, scratch, workers
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
+SHARD_WORDS = 1 << 18
 SAMPLE = 8
+#: Phrases that are searched together.
+TOGETHER = 1 << 16
+_U = np.uint64
+
+
+class BitPlane:
+    """Bits in 64-bit words with the count of ones before each word."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.packbits(bits, bitorder="little")
+        self.words = np.concatenate([packed, np.zeros(8 - len(packed) % 8, np.uint8)]).view(_U)
+        self.before = np.zeros(len(self.words) + 1, np.int32)
+        np.cumsum(np.bitwise_count(self.words), out=self.before[1:])
+
+    @property
+    def ones(self) -> int:
+        return int(self.before[-1])
+
+    def rank(self, upto: np.ndarray) -> np.ndarray:
+        """Ones before each position."""
+        word = upto >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] & ((_U(1) << (upto & 63).astype(_U)) - _U(1)))
 
 
 class WaveletMatrix:
     """Ranks of symbols in a sequence, one bit plane per level."""
 
-    def __init__(self, symbols: np.ndarray, bits: int):
+    def __init__(self, symbols: np.ndarray, n_symbols: int):
+        present = np.flatnonzero(np.bincount(symbols, minlength=n_symbols))
         self.planes = []
-        for b in range(bits - 1, -1, -1):
-            bit = (symbols >> b) & 1
-            ones = np.zeros(len(symbols) + 1, np.int32)
-            np.cumsum(bit, out=ones[1:])
-            self.planes.append((b, len(symbols) - int(ones[-1]), ones))
-            symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
+        for b in range(max(1, int(n_symbols - 1).bit_length()) - 1, -1, -1):
+            bit = (symbols >> b) & 1 == 1
+            plane = BitPlane(bit)
+            self.planes.append((b, len(symbols) - plane.ones, plane))
+            symbols = np.concatenate([symbols[~bit], symbols[bit]])
+        self.origin = np.zeros(n_symbols, np.int64)
+        self.origin[present] = self._down(present, np.zeros(len(present), np.int64))
+
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for b, zeros, plane in self.planes:
+            ones = plane.rank(at)
+            at = np.where((symbol >> b) & 1 == 1, zeros + ones, at - ones)
+        return at
 
     def rank(self, symbol: np.ndarray, upto: np.ndarray) -> np.ndarray:
-        """How often each symbol occurs before each position."""
-        lo = np.zeros(len(symbol), np.int64)
-        hi = upto.astype(np.int64)
-        for b, zeros, ones in self.planes:
-            one = (symbol >> b) & 1 == 1
-            lo = np.where(one, zeros + ones[lo], lo - ones[lo])
-            hi = np.where(one, zeros + ones[hi], hi - ones[hi])
-        return hi - lo
+        """How often each symbol, one that occurs, stands before each position."""
+        return self._down(symbol, upto) - self.origin[symbol]
 
 
 def suffix_array(symbols: np.ndarray, separator: int) -> np.ndarray:
@@ -89,19 +119,23 @@ class FMIndex:
         self.symbols = symbols
         order = suffix_array(symbols, 0)
         self.bwt = symbols[order - 1]
-        self.wavelet = WaveletMatrix(self.bwt, max(1, int(n_symbols - 1).bit_length()))
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=n_symbols))])
+        self.wavelet = WaveletMatrix(self.bwt, n_symbols)
+        counts = np.bincount(symbols, minlength=n_symbols)
+        self.present = counts > 0
+        self.before = np.concatenate([[0], np.cumsum(counts)])
         # A run's first position is sampled too: a walk never crosses a separator.
         kept = (order % sample == 0) | (self.bwt == 0)
-        self.sampled = np.where(kept, order, -1)
+        self.kept, self.sampled = BitPlane(kept), order[kept].astype(np.int32)
+        self.is_kept = kept
 
     def step(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
         return self.before[symbol] + self.wavelet.rank(symbol, row)
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row ranges of phrases of one length (a row of symbols each)."""
-        lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), len(self.symbols), np.int64)
-        alive = np.arange(len(phrases))
+        lo, hi = np.zeros(len(phrases), np.int64), np.zeros(len(phrases), np.int64)
+        alive = np.flatnonzero(self.present[phrases].all(1))
+        hi[alive] = len(self.symbols)
         for j in range(phrases.shape[1] - 1, -1, -1):
             c = phrases[alive, j]
             both = self.step(np.concatenate([c, c]), np.concatenate([lo[alive], hi[alive]]))
@@ -115,115 +149,192 @@ class FMIndex:
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Positions of suffixes by walking back to a sampled one."""
-        rows = rows.copy()
+        rows = rows.astype(np.int64)
         out = np.full(len(rows), -1, np.int64)
         steps = np.zeros(len(rows), np.int64)
         left = np.arange(len(rows))
         while len(left):
-            found = self.sampled[rows[left]]
-            done = found >= 0
-            out[left[done]] = found[done] + steps[left[done]]
+            done = self.is_kept[rows[left]]
+            out[left[done]] = self.sampled[self.kept.rank(rows[left[done]])] + steps[left[done]]
             left = left[~done]
             rows[left] = self.step(self.bwt[rows[left]], rows[left])
             steps[left] += 1
         return out
 
 
+def ranked(symbols: np.ndarray, length: int) -> np.ndarray:
+    """Numbers that are equal exactly where the next ``length`` symbols are."""
+    if length == 1:
+        return symbols.astype(np.int64)
+    half = length // 2
+    a = ranked(symbols, half)
+    b = a if length == 2 * half else ranked(symbols, length - half)
+    n = len(symbols) - length + 1
+    return np.unique(a[:n] * (int(b.max(initial=0)) + 1) + b[half : half + n], return_inverse=True)[1]
+
+
+def same_bytes(a: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b: np.ndarray, b_from: np.ndarray, b_to: np.ndarray) -> np.ndarray:
+    """Whether the slices of a equal those of b, pair by pair."""
+    n = a_to - a_from
+    out = n == b_to - b_from
+    n = np.where(out, n, 0)
+    pair = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+    wrong = a[a_from[pair] + step] != b[b_from[pair] + step]
+    out[pair[wrong]] = False
+    return out
+
+
 class Phrases:
-    """The distinct windows of a block of test items, as symbols of their vocabulary."""
+    """The distinct windows of a block of test items: places in one sequence of symbols of their vocabulary."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        hashes: dict[bytes, int] = {}
-        windows: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            data = (text or "").encode()
-            c = bytescan.Chunk(0, 1, np.frombuffer(data, np.uint8), np.array([0, len(data)])).lowered()
-            w = bytescan.scan(c, bytescan.ALNUM)
-            raw = c.data.tobytes()
-            words = [raw[s:e] for s, e in zip(w.starts.tolist(), w.ends.tolist())]
-            hashes.update(zip(words, bytescan.word_hashes(c, w).tolist()))
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                windows[tuple(words[i : i + window])].add(item or "")
-        self.vocabulary = np.array(sorted(hashes.values()), np.uint64)
-        if len(np.unique(self.vocabulary)) < len(hashes):
-            raise ValueError("two words of the benchmark share a 64-bit hash")
-        symbol = {w: int(np.searchsorted(self.vocabulary, np.uint64(h))) + 1 for w, h in hashes.items()}
-        by_length: dict[int, list] = defaultdict(list)
-        for words, of in windows.items():
-            by_length[len(words)].append(([symbol[w] for w in words], sorted(of)))
-        self.by_length = {n: (np.array([p for p, _ in x], np.int64), [of for _, of in x]) for n, x in by_length.items()}
-        self.shortest = min(by_length, default=1)
+        #: Sorted, so that sorted numbers are sorted ids.
+        self.items = sorted({item or "" for item, _ in items})
+        number = {item: i for i, item in enumerate(self.items)}
+        of = np.array([number[item or ""] for item, _ in items], np.int64)
+        texts = [bytescan.Chunk(c.first, c.last, c.data, c.offsets).lowered() for c in bytescan.chunks(pa.array([t or "" for _, t in items], pa.large_string()))]
+        words = [bytescan.scan(c, bytescan.ALNUM) for c in texts]
+        data = np.concatenate([c.data for c in texts]) if texts else np.zeros(0, np.uint8)
+        base = np.cumsum([0, *[len(c.data) for c in texts]])
+        starts, ends = (np.concatenate([np.zeros(0, np.int64), *[getattr(w, k) + b for w, b in zip(words, base)]]) for k in ("starts", "ends"))
+        counts = np.concatenate([np.zeros(0, np.int64), *[w.counts for w in words]])
+        # Two words of one hash would be one symbol: then all are hashed in another way.
+        for self.way in range(len(bytescan.BYTE_POWERS)):
+            hashes = np.concatenate([np.zeros(0, _U), *[bytescan.word_hashes(c, w, self.way) for c, w in zip(texts, words)]])
+            self.vocabulary, first, symbols = np.unique(hashes, return_index=True, return_inverse=True)
+            if same_bytes(data, starts, ends, data, starts[first][symbols], ends[first][symbols]).all():
+                break
+        else:
+            raise ValueError("words of the benchmark share all of their hashes")
+        self.symbols = (symbols + 1).astype(np.int32)
+        size = ends[first] - starts[first]
+        self.word_ends = np.cumsum(size)
+        self.word_starts = self.word_ends - size
+        self.word_bytes = data[np.repeat(starts[first] - self.word_starts, size) + np.arange(int(size.sum()))]
+        begins = np.cumsum(counts) - counts
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        lengths = np.minimum(counts, window)
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            mine = np.flatnonzero(lengths == n)
+            many = counts[mine] - n + 1
+            place = np.repeat(begins[mine] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            rank = ranked(self.symbols, n)[place]
+            _, at, same = np.unique(rank, return_index=True, return_inverse=True)
+            pairs = np.unique(same * len(self.items) + np.repeat(of[mine], many))
+            self.by_length[n] = place[at].astype(np.int32), np.searchsorted(pairs, np.arange(len(at) + 1) * len(self.items)), (pairs % len(self.items)).astype(np.int32)
+        self.shortest = min(self.by_length, default=1)
 
     def symbols_of(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.int64)
+            return np.zeros(len(hashes), np.int32)
         at = np.searchsorted(self.vocabulary, hashes)
         at[at == len(self.vocabulary)] = 0
-        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+        return np.where(self.vocabulary[at] == hashes, at + 1, 0).astype(np.int32)
 
 
-def search_shard(column: pa.Array, phrases: Phrases) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]], dict[int, set[str]]]:
-    """Words per row, and for rows with hits their merged spans (first word, words) and items."""
-    n_words = np.zeros(len(column), np.int64)
-    parts, rows, at = [], [], []
-    for raw in bytescan.chunks(column):
-        c = raw.lowered()
+class Shard:
+    """Runs of vocabulary words of whole documents, gathered chunk by chunk."""
+
+    def __init__(self, phrases: Phrases):
+        self.phrases, self.parts, self.words, self.bytes = phrases, [], 0, 0
+
+    def add(self, c: bytescan.Chunk) -> np.ndarray:
+        """Take the runs of a chunk; the number of words of its documents."""
         w = bytescan.scan(c, bytescan.ALNUM)
-        n_words[c.first : c.last] = w.counts
-        s = phrases.symbols_of(bytescan.word_hashes(c, w))
-        # Runs of vocabulary words inside one document.
+        s = self.phrases.symbols_of(bytescan.word_hashes(c, w, self.phrases.way))
         new = np.ones(len(s) + 1, bool)
         new[1:-1] = (s[1:] == 0) | (s[:-1] == 0)
         new[w.first] = True
         begins = np.flatnonzero(new[:-1])
         lengths = np.diff(np.append(begins, len(s)))
-        keep = (lengths >= phrases.shortest) & (s[begins] > 0) if len(s) else np.zeros(0, bool)
+        keep = (lengths >= self.phrases.shortest) & (s[begins] > 0) if len(s) else np.zeros(0, bool)
         begins, lengths = begins[keep], lengths[keep]
-        if not len(begins):
-            continue
-        take = np.repeat(begins - np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]), lengths + 1) + np.arange(int((lengths + 1).sum()))
-        last = np.cumsum(lengths + 1) - 1
-        symbols = s[np.minimum(take, len(s) - 1)]
-        symbols[last] = 0
-        doc = np.searchsorted(w.first, take, "right") - 1
-        doc[last] = -1
-        parts.append(symbols)
-        rows.append(np.where(doc >= 0, doc + c.first, -1))
-        at.append(take - w.first[np.maximum(doc, 0)])
+        if len(begins):
+            take = np.repeat(begins - np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]), lengths + 1) + np.arange(int((lengths + 1).sum()))
+            last = np.cumsum(lengths + 1) - 1
+            take[last] = np.minimum(take[last], len(s) - 1)
+            symbols = s[take]
+            symbols[last] = 0
+            doc = np.searchsorted(w.first, take, "right") - 1
+            rows = (doc + c.first).astype(np.int32)
+            rows[last] = -1
+            self.parts.append((symbols, rows, (take - w.first[doc]).astype(np.int32), (w.starts[take] + self.bytes).astype(np.int32), (w.ends[take] + self.bytes).astype(np.int32), c.data))
+            self.words += len(symbols)
+            self.bytes += len(c.data)
+        return w.counts
+
+    def search(self) -> tuple[dict[int, list[tuple[int, int]]], dict[int, list[int]]]:
+        """For rows with hits their merged spans (first word, words) and numbers of items."""
+        if not self.parts:
+            return {}, {}
+        symbols, rows, at, starts, ends, data = map(np.concatenate, zip(*self.parts))
+        p = self.phrases
+        index = FMIndex(symbols, len(p.vocabulary) + 1)
+        hits = []
+        for length, (place, _, _) in p.by_length.items():
+            for i in range(0, len(place), TOGETHER):
+                lo, hi = index.search(p.symbols[place[i : i + TOGETHER, None] + np.arange(length)])
+                found = np.flatnonzero(hi > lo)
+                if len(found):
+                    count = (hi - lo)[found]
+                    where = index.locate(np.repeat(lo[found] - (np.cumsum(count) - count), count) + np.arange(int(count.sum())))
+                    hits.append((length, np.repeat(found + i, count), where))
+        cover = np.zeros(len(symbols) + 1, np.int64)
+        for length, _, where in hits:
+            np.add.at(cover, where, 1)
+            np.add.at(cover, where + length, -1)
+        covered = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
+        word = symbols[covered] - 1
+        wrong = np.zeros(len(symbols) + 1, np.int64)
+        wrong[covered + 1] = ~same_bytes(data, starts[covered], ends[covered], p.word_bytes, p.word_starts[word], p.word_ends[word])
+        wrong = np.cumsum(wrong)
+        cover[:] = 0
+        pairs = [np.zeros(0, np.int64)]
+        for length, which, where in hits:
+            right = wrong[where + length] == wrong[where]
+            which, where = which[right], where[right]
+            np.add.at(cover, where, 1)
+            np.add.at(cover, where + length, -1)
+            _, first, numbers = p.by_length[length]
+            once = np.unique(rows[where].astype(np.int64) * (len(first) - 1) + which)
+            row, which = once // (len(first) - 1), once % (len(first) - 1)
+            n = first[which + 1] - first[which]
+            pairs.append(np.repeat(row, n) * len(p.items) + numbers[np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        spans: dict[int, list[tuple[int, int]]] = {}
+        items: dict[int, list[int]] = {}
+        covered = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
+        if len(covered):
+            gap = np.flatnonzero((np.diff(covered) > 1) | (np.diff(at[covered]) != 1) | (np.diff(rows[covered]) != 0)) + 1
+            for run in np.split(covered, gap):
+                spans.setdefault(int(rows[run[0]]), []).append((int(at[run[0]]), len(run)))
+        for pair in np.unique(np.concatenate(pairs)).tolist():
+            items.setdefault(pair // len(p.items), []).append(pair % len(p.items))
+        return spans, items
+
+
+def search_batch(column: pa.Array, phrases: Phrases, shard_words: int = SHARD_WORDS) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]], dict[int, list[str]]]:
+    """Words per row of a text column, and for rows with hits their merged spans and sorted items."""
+    n_words = np.zeros(len(column), np.int64)
     spans: dict[int, list[tuple[int, int]]] = {}
-    items: dict[int, set[str]] = defaultdict(set)
-    if not parts:
-        return n_words, spans, items
-    symbols, rows, at = map(np.concatenate, (parts, rows, at))
-    index = FMIndex(symbols, len(phrases.vocabulary) + 1)
-    change = np.zeros(len(symbols) + 1, np.int64)
-    for length, (table, of) in phrases.by_length.items():
-        lo, hi = index.search(table)
-        hit = np.flatnonzero(hi > lo)
-        if not len(hit):
-            continue
-        count = (hi - lo)[hit]
-        which = np.repeat(hit, count)
-        places = index.locate(np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum())))
-        same = (symbols[places[:, None] + np.arange(length)] == table[which]).all(1)
-        which, places = which[same], places[same]
-        np.add.at(change, places, 1)
-        np.add.at(change, places + length, -1)
-        for pair in np.unique(rows[places] * len(table) + which).tolist():
-            items[pair // len(table)].update(of[pair % len(table)])
-    covered = np.flatnonzero(np.cumsum(change)[:-1] > 0)
-    if len(covered):
-        gap = np.flatnonzero((np.diff(covered) > 1) | (np.diff(at[covered]) != 1) | (np.diff(rows[covered]) != 0)) + 1
-        for run in np.split(covered, gap):
-            spans.setdefault(int(rows[run[0]]), []).append((int(at[run[0]]), len(run)))
-    return n_words, spans, items
+    items: dict[int, list[str]] = {}
 
+    def close(shard: Shard) -> Shard:
+        found, numbers = shard.search()
+        spans.update(found)
+        items.update({r: [phrases.items[i] for i in x] for r, x in numbers.items()})
+        return Shard(phrases)
 
-_SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64())]))
-_FOUND = "n_words long, spans array<struct<first_word: long, n_words: long>>, items array<string>"
+    shard = Shard(phrases)
+    for raw in bytescan.chunks(column):
+        n_words[raw.first : raw.last] = shard.add(raw.lowered())
+        if shard.words >= shard_words:
+            shard = close(shard)
+    close(shard)
+    return n_words, spans, items
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for first, n in sorted(spans):
         if out and first <= out[-1][0] + out[-1][1]:
@@ -255,54 +366,65 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield [(r.item, r.text) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()]
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of documents with ``n_words``, merged ``spans`` and ``items`` (sorted ids) added; clashing columns give way."""
-    names = [c for c in documents.columns if c not in ("n_words", "spans", "items")]
-    df = documents.select(*names, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first_word: long, n_words: long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = df.schema
-    for i, block in enumerate(blocks(benchmark, item_col, item_text_col, block_bytes)):
-        phrases = Phrases(block, window)
-        held = df.sparkSession.sparkContext.broadcast(phrases)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+_SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64())]))
+_MARKS = "_found_words long, _found_spans array<struct<first_word: long, n_words: long>>, _found_items array<string>"
+
+
+def _search(documents: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int, cut: bool) -> DataFrame:
+    """The columns of documents and the marks, or with ``cut`` the columns alone, the spans cut out of the texts."""
+    spark = documents.sparkSession
+    workers.small_batches(spark)
+    names = documents.columns
+    marked = spark.createDataFrame([], _MARKS).schema
+    plain, k, text_at = documents.schema, len(names), names.index(text_col)
+    cast = documents.withColumn(text_col, F.col(text_col).cast("string"))
+    df = cast
+    every = list(blocks(benchmark, item_col, item_text_col, block_bytes))
+    for i, block in enumerate(every):
+        held = spark.sparkContext.broadcast(Phrases(block, window))
+        last = i == len(every) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, again=i > 0, ends=last and cut) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n_words, spans, items = search_shard(batch.column(names.index(text_col)), held.value)
-                k = len(names)
-                old_spans, old_items = batch.column(k + 1), batch.column(k + 2)
-                all_spans = [[] for _ in range(len(batch))]
-                all_items = [[] for _ in range(len(batch))]
-                for r in {*spans, *np.flatnonzero(old_spans.value_lengths().to_numpy(zero_copy_only=False)).tolist()}:
-                    before = [(x["first_word"], x["n_words"]) for x in old_spans[r].as_py()]
-                    all_spans[r] = [{"first_word": a, "n_words": b} for a, b in _merged(before + spans.get(r, []))]
-                    all_items[r] = sorted({*old_items[r].as_py(), *items.get(r, ())})
-                yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(n_words), pa.array(all_spans, _SPANS), pa.array(all_items, pa.list_(pa.string()))], [*names, "n_words", "spans", "items"])
-
-        if i:
+                n_words, spans, items = search_batch(batch.column(text_at), held.value)
+                if again:
+                    for r in np.flatnonzero(batch.column(k + 1).value_lengths().to_numpy(zero_copy_only=False)).tolist():
+                        spans[r] = merged([(x["first_word"], x["n_words"]) for x in batch.column(k + 1)[r].as_py()] + spans.get(r, []))
+                        items[r] = sorted({*batch.column(k + 2)[r].as_py(), *items.get(r, ())})
+                columns = batch.columns[:k]
+                if not ends:
+                    all_spans = [[{"first_word": a, "n_words": b} for a, b in spans.get(r, ())] for r in range(len(batch))]
+                    all_items = [items.get(r, []) for r in range(len(batch))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words), pa.array(all_spans, _SPANS), pa.array(all_items, pa.list_(pa.string()))], [*names, *marked.names])
+                elif not spans:
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                else:
+                    gone = np.zeros(len(batch), bool)
+                    text = columns[text_at].to_pylist()
+                    for r, mine in spans.items():
+                        gone[r] = sum(n for _, n in mine) == n_words[r]
+                        text[r] = without_spans(text[r], mine)
+                    columns[text_at] = pa.array(text, columns[text_at].type)
+                    yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(~gone))
+
+        schema = cast.schema if last and cut else type(plain)([*cast.schema.fields, *marked.fields])
+        df = df.mapInArrow(workers.lean(run), schema)
+        if not last:
             df = scratch.written(df, "decontaminate")
-        df = df.mapInArrow(run, schema)
+            held.destroy()
     return df
 
 
-def remove_contamination(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def find_contamination(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of documents with ``n_words``, merged ``spans`` and ``items`` (sorted ids) added; clashing columns give way."""
+    rows = documents.drop("n_words", "spans", "items")
+    found = _search(rows, benchmark, text_col, item_col, item_text_col, window, block_bytes, False)
+    return found.withColumnsRenamed({"_found_words": "n_words", "_found_spans": "spans", "_found_items": "items"})
+
+
+def remove_contamination(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns of documents, the merged spans cut out of the texts; documents with no word left go."""
-    found = find_contamination(documents, benchmark, text_col, window=window)
-    names, kept = documents.columns, found.columns
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(len(kept) - 2)
-            hit = np.flatnonzero(spans.value_lengths().to_numpy(zero_copy_only=False))
-            columns = batch.columns[: len(kept) - 3]
-            if len(hit):
-                i = kept.index(text_col)
-                text = columns[i].to_pylist()
-                for r in hit.tolist():
-                    text[r] = without_spans(text[r], [(x["first_word"], x["n_words"]) for x in spans[r].as_py()])
-                columns[i] = pa.array(text, columns[i].type)
-            yield pa.RecordBatch.from_arrays(columns, kept[: len(kept) - 3])
-
-    whole = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n_words"]) == F.col("n_words")
-    return found.filter((F.size("spans") == 0) | ~whole).mapInArrow(cut, documents.select(*kept[: len(kept) - 3]).schema).select(*names)
+    return _search(documents, benchmark, text_col, "item_id", "text", window, block_bytes, True)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
