@@ -179,26 +179,64 @@ def test_op6_learns_and_scores_all(spark):
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got) and next(r for r in got if r.doc_id is None).score > 0.5
     none = toxicity.learn(docs, labels.filter("false"))
     assert {r.score for r in toxicity.scored(odd, none).collect()} == {0.0}
+    assert {r.score for r in got if r.doc_id in (1, 2)} == {model.share}
+    assert {r.doc_id: r.neighbours for r in got}[1] == [] and all(len(r.neighbours) == 15 for r in toxicity.scored(docs.limit(50), model).filter("length(text) > 500").collect())
     assert toxicity.scored(odd.filter("false"), model).count() == 0
 
 
 def test_op6_index_is_exact():
     g = np.random.default_rng(0)
-    vectors = []
-    for _ in range(300):
-        f = np.sort(g.choice(40, g.integers(1, 6), replace=False))
-        x = g.random(len(f)) + 0.1
-        vectors.append((f, x / np.linalg.norm(x)))
-    index = toxicity.BlockMaxIndex.build(np.arange(300), np.zeros(300, int), vectors, 40)
     dense = np.zeros((300, 40))
-    for i, (f, x) in enumerate(vectors):
-        dense[i, f] = x
-    for f, x in vectors[:50]:
-        q = np.zeros(40)
-        q[f] = x
-        cos = dense @ q
-        want = [i for i in np.lexsort((np.arange(300), -np.round(cos, 12))) if cos[i] > 0][:15]
-        assert index.nearest(f, x, 15)[0].tolist() == want
+    for i in range(300):
+        dense[i, g.choice(40, g.integers(1, 6), replace=False)] = g.random() + 0.1
+    dense[250:] = dense[:50]
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    rows, terms = np.nonzero(dense)
+    ids = g.permutation(300)
+    index = toxicity.BlockMaxIndex(ids, np.zeros(300, int), rows, terms, dense[rows, terms], 40)
+    for i in range(60):
+        f = np.flatnonzero(dense[i])
+        cos = dense @ dense[i]
+        want = [r for r in np.lexsort((ids, -np.round(cos, 12))) if cos[r] > 1e-15]
+        assert index.nearest(f, dense[i, f], 15)[0].tolist() == want[:15]
+        assert index.nearest(f, dense[i, f], 15, without=i)[0].tolist() == [r for r in want if r != i][:15]
+        assert index.nearest(f, dense[i, f], 1000)[0].tolist() == want
+
+
+def test_op6_neighbours_are_the_nearest_by_dense_cosine(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in toxicity.op6_toxicity(spark, SF).collect()}
+    examples, _ = toxicity.examples_of(docs, labels)
+    texts = {r.doc_id: re.findall(ALNUM, (r.text or "").lower()) for r in docs.collect()}
+    words = sorted({w for i in examples.ids.tolist() for w in texts[i]})
+    df = {w: sum(w in t for t in map(set, texts.values())) for w in words}
+    labelled = dict(zip(examples.ids.tolist(), examples.toxic.tolist()))
+    n1, n = sum(labelled.values()), len(labelled)
+
+    def factor(w):
+        k1, k = sum(w in texts[i] for i in labelled if labelled[i]), sum(w in texts[i] for i in labelled)
+        part = lambda s, e: s * np.log(s / e) if s else 0.0
+        llr = 2 * (part(k1, n1 * k / n) + part(k - k1, (n - n1) * k / n) + part(n1 - k1, n1 * (n - k) / n) + part(n - n1 - k + k1, (n - n1) * (n - k) / n))
+        return np.log((1 + len(texts)) / (1 + df[w])) * (1 + (llr / toxicity.LLR_SCALE if k1 * (n - n1) > (k - k1) * n1 else 0))
+
+    at, weight = {w: j for j, w in enumerate(words)}, np.array([factor(w) for w in words])
+
+    def vector(t):
+        x = np.zeros(len(words))
+        for w, c in Counter(t).items():
+            if w in at:
+                x[at[w]] = weight[at[w]] * (1 + np.log(c))
+        return x / (np.linalg.norm(x) or 1)
+
+    ids = examples.ids
+    dense = np.stack([vector(texts[i]) for i in ids.tolist()])
+    for i, t in texts.items():
+        cos = dense @ vector(t)
+        best = np.sort(cos[cos > 1e-12])[::-1][: toxicity.NEIGHBOURS]
+        mine = got[i].neighbours
+        assert np.allclose([x.similarity for x in mine], best, atol=1e-9), i
+        assert all(abs(cos[ids.tolist().index(x.doc_id)] - x.similarity) < 1e-9 for x in mine)
+        assert bool(mine) or not set(t) & set(words)
 
 
 def test_op7_held_out_pages_and_broken_html(spark):
@@ -312,6 +350,25 @@ def test_op10_against_brute_force(spark, docs, block_bytes):
     assert got == brute_hits(rows, items)
 
 
+def test_op10_shards_collisions_and_clashing_columns(spark, docs, monkeypatch):
+    rows = corpus()
+    items = [(1, " ".join((rows[4][1] or "").split()[-30:])), (2, "the"), (None, "w5 w6"), (None, "w7")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    column = pa.array([t for _, t in rows])
+    want = [(n, h, f) for _, n, h, f in sorted(brute_hits(list(enumerate(t for _, t in rows)), [(i or "", t) for i, t in items]))]
+    # With a hash of few values, words of the benchmark share one, and words of documents meet wrong symbols.
+    real = bytescan.word_hashes
+    for bits, limit in ((64, 1), (12, 500), (6, 500)):
+        monkeypatch.setattr(bytescan, "word_hashes", lambda c, w, way=0, bits=bits: real(c, w, way) & np.uint64((1 << bits) - 1) if way == 0 else real(c, w, way))
+        phrases = decontaminate.Phrases([(i and str(i), t) for i, t in items], 10)
+        assert phrases.way == (bits == 6)
+        n, spans, found = decontaminate.search_batch(column, phrases, limit)
+        assert [(int(n[r]), sum(k for _, k in spans.get(r, ())), found.get(r, [])) for r in range(len(rows))] == want
+    monkeypatch.undo()
+    cut = decontaminate.remove_contamination(docs, bench)
+    assert cut.columns == docs.columns and {r.spans for r in cut.collect()} == {"x"}
+
+
 def test_op10_index_finds_all_places():
     r = np.random.default_rng(2)
     text = np.concatenate([np.append(r.integers(1, 4, r.integers(1, 60)), 0) for _ in range(40)])
