@@ -12,8 +12,10 @@ different components still.  A group of copies costs its size, not its square.
 
 SimHash links (``simhash``, contract values) join components too.
 
-Defined cases: null texts are empty; empty texts are copies of each other; of
-null ids as in ``simhash``; other columns are ignored.
+Defined cases: null texts are empty; empty texts are copies of each other; very
+long texts are read whole; of null ids as in ``simhash``; rows that share an id
+are rows of their own; repeated rows are copies; an empty table gives an empty
+result; other columns are ignored, but for those named in ``carry``.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm import bytescan, scratch, simhash
+from spanveil.llm import bytescan, scratch, simhash, workers
 from spanveil.llm.components import connected_components
 
 SIZE = 5
@@ -53,13 +55,15 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        names = ["doc_id", "cls", "fp", "grams", *batch.schema.names[2:]]
         for c in bytescan.chunks(batch.column(1)):
             n = c.last - c.first
             texts = [c.text(i) for i in range(n)]
             made = [shingles(t) for t in texts]
             fp = np.fromiter(map(simhash.fingerprint_text, texts), np.uint64, n).view(np.int64)
             cls = np.array([m[0] for m in made], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, n), pa.array(cls), pa.array(fp), _lists([m[1] for m in made])], ["doc_id", "cls", "fp", "grams"])
+            carried = [x.slice(c.first, n) for x in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, n), pa.array(cls), pa.array(fp), _lists([m[1] for m in made]), *carried], names)
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +75,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _posted(sets: DataFrame) -> DataFrame:
     """gram, cls, n: every set under the members of its prefix."""
-    counts = sets.select("grams").mapInArrow(_common, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = sets.select("grams").mapInArrow(workers.lean(_common), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "gram").limit(MAX_COMMON).toArrow().sort_by("gram")
     held = sets.sparkSession.sparkContext.broadcast((rows["gram"].to_numpy(), rows["n"].to_numpy()))
 
@@ -92,7 +96,7 @@ def _posted(sets: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, prefix, 0))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gram[first]))], ["cls", "n", "prefix"])
 
-    heads = sets.select("cls", "grams").mapInArrow(run, "cls long, n int, prefix array<long>")
+    heads = sets.select("cls", "grams").mapInArrow(workers.lean(run), "cls long, n int, prefix array<long>")
     return heads.groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("gram"), "cls", "n")
 
 
@@ -131,10 +135,12 @@ def jaccard_links(sets: DataFrame) -> DataFrame:
     return out
 
 
-def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, cls (hash of the words) and component_id of every row."""
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marked = scratch.written(rows.mapInArrow(_read, "doc_id long, cls long, fp long, grams array<long>"), "shingles")
+def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, cls (hash of the words), component (least cls reachable), component_id (least id there) and the carried columns of every row."""
+    workers.small_batches(documents.sparkSession)
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carry)
+    schema = ", ".join(["doc_id long, cls long, fp long, grams array<long>", *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)])
+    marked = scratch.written(rows.mapInArrow(workers.lean(_read), schema), "shingles")
     classes = scratch.written(marked.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp")), "shingle-classes")
     prints = classes.groupBy("fp").agg(F.min("cls").alias("rep"))
     same = classes.join(prints, "fp").filter("cls <> rep").select(F.col("cls").alias("u"), F.col("rep").alias("v"))
@@ -144,4 +150,4 @@ def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = connected_components(edges)
     linked = classes.join(named, classes.cls == named.node, "left").select("cls", "first_id", F.coalesce("component", "cls").alias("component"))
     smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return marked.select("doc_id", "cls").join(linked.join(smallest, "component").select("cls", "component_id"), "cls").select("doc_id", "cls", "component_id")
+    return marked.select("doc_id", "cls", *carry).join(linked.join(smallest, "component").select("cls", "component", "component_id"), "cls").select("doc_id", "cls", "component", "component_id", *carry)

@@ -4,8 +4,9 @@ A 64-bit fingerprint is eight positional bytes.  Three differing bits touch
 three bytes at most, so linked fingerprints share at least ``8 - 3 = 5``
 positional bytes.  The index posts every distinct fingerprint under sets of
 ``width`` positional bytes, chosen so that any five shared positions contain
-one of the sets; inside a posting list the shared positional bytes of each pair
-are tallied, pairs reaching five are kept, and their differing bits verified.
+one of the sets; so a pair is tallied within the list of such a set: its shared
+positional bytes are counted, pairs reaching five are kept, and their differing
+bits verified.
 
 Scale: equal fingerprints are collapsed first, so copies cost one row.  Posting
 lists longer than ``block`` are cut into blocks and compared block against
@@ -14,9 +15,10 @@ not all pairs, which keeps every component whole.  Components come from
 joins (large-star, small-star), with each round written to the shared folder.
 
 Defined cases: null and empty texts have fingerprint zero and link like any
-other; a null doc_id takes no part in naming a component unless all ids of the
-component are null (component_id is then null); repeated rows give repeated
-results; an empty table gives an empty result; other columns are ignored.
+other; very long texts are hashed whole; a null doc_id takes no part in naming a
+component unless all ids of the component are null (component_id is then null);
+rows that share an id or repeat give a result each; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import bytescan, scratch
+from spanveil.llm import bytescan, scratch, workers
 from spanveil.llm.components import connected_components
 
 SHINGLE = 3
@@ -71,7 +73,7 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
                 fp = np.fromiter((fingerprint_text(c.text(i)) for i in range(n)), np.uint64, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, n), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(workers.lean(run), "doc_id long, fp long")
 
 
 def position_sets(width: int, shared: int = 8 - BITS) -> list[tuple[int, ...]]:
@@ -150,7 +152,7 @@ def links(distinct: DataFrame, bits: int = BITS, width: int = WIDTH, block: int
             new = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(0)) + 1
             yield _links_of(rows, np.append(new, rows.shape[1]), bits)
 
-    return tiles.mapInArrow(compare, "u long, v long")
+    return tiles.mapInArrow(workers.lean(compare), "u long, v long")
 
 
 #: Groups of up to so many rows are compared together, row against following row.
@@ -186,6 +188,7 @@ def _links_of(rows: np.ndarray, ends: np.ndarray, bits: int) -> pa.RecordBatch:
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
+    workers.small_batches(documents.sparkSession)
     marked = scratch.written(fingerprints(documents, id_col, text_col), "fingerprints")
     classes = scratch.written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "fingerprint-classes")
     edges = scratch.written(links(classes.select("fp"), bits), "simhash-links").distinct()

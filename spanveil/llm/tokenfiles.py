@@ -13,30 +13,34 @@ Documents stand in ascending order of their id; rows that share an id follow
 the hash of their text, then the text.
 
 Texts are encoded where they are read; only ids travel to the part that holds
-them.  Parts are ranges of document ids cut at percentiles; an id that fills
-several percentiles is dealt over all their parts.  The library's encoder is
+them, each part to a task of its own.  The number of parts grows with the bytes
+of text.  Parts are ranges of document ids cut at percentiles, beyond ``CUTS``
+parts at even steps of ids between them; an id that fills several percentiles is
+dealt over all their parts.  The library's encoder is
 asked once for each distinct piece between ASCII white space, as the
 tokenizer's normaliser and pre-tokenizer never look across white space; the
-memo is bounded, pieces beyond it are encoded each time.
+memo is bounded, pieces beyond it are encoded each time.  Memory mapping needs a
+mounted folder; of another store a part, which is bounded, is read into memory.
 
 Writes go to a name of the attempt and are moved into place, so lost
 executors, retries and speculation leave whole files.
 
-Defined cases: null text is an empty text (only the end id); a null id sorts
-first and is stored as the smallest 64-bit integer, read back as null; repeated
-rows are stored repeatedly; an empty table has no parts; other columns are
-ignored.
+Defined cases: null text is an empty text (only the end id); a very long text is
+one document of one part; a null id sorts first and is stored as the smallest
+64-bit integer, read back as null; ids that tie are ordered as said; repeated
+rows are stored repeatedly; an empty table has no parts; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import random
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -44,11 +48,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import bytescan, scratch
+from spanveil.llm import bytescan, scratch, workers
 
 NULL_ID = -(1 << 63)
 #: Entries of each of an encoder's two memos.
 MEMO = 250_000
+#: Bytes of text of a part in a large table, and of a part at least; percentiles that cut parts, at most.
+PART_BYTES, LEAST_BYTES, CUTS = 256 << 20, 1 << 20, 4096
 #: Pieces of printable ASCII and Latin-1 letters only, which stay as they are but for case, and what the
 #: pre-tokenizer makes of them.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -65,6 +71,14 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+def probes(n: int = 1500) -> list[str]:
+    """Pieces of all the letters that the short way takes, mixed with marks and digits."""
+    r = random.Random(1)
+    letters = [chr(c) for c in (*range(0x21, 0x7F), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)]
+    words = ["".join(r.choices(r.choice((letters, letters, "aeiost'", "'sdlmrtv0.É")), k=r.randint(1, 9))) for _ in range(n)]
+    return ["straße", "Éeuxle", "it'S", "Ñandú.", "Then,", "a12(b)!!", "x''re", *letters, *(w for w in words if "<|" not in w)]
+
+
 class Encoder(dict):
     """Pieces between white space to the bytes of their ids."""
 
@@ -79,7 +93,7 @@ class Encoder(dict):
         self.letters = byte_letters()
         # The short way is taken only if it gives what the library gives.
         self.short = True
-        self.short = all(self.encode_piece(p.encode()) == self.slow(p) for p in ("straße", "Éeuxle", "it'S", "Ñandú.", "Then,", "a12(b)!!", "x''re"))
+        self.short = all(self.encode_piece(p.encode()) == self.slow(p) for p in probes())
 
     def slow(self, piece: str) -> bytes:
         return self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
@@ -109,10 +123,9 @@ class Encoder(dict):
         return b"".join([self[w] for w in text.split()])
 
 
-@lru_cache(1)
 def worker_encoder(path: str) -> Encoder:
     """The encoder of a worker process, with what earlier tasks left in its memos."""
-    return Encoder(path)
+    return workers.keep(("encoder", path), lambda: Encoder(path))
 
 
 def _local(uri: str) -> str | None:
@@ -182,18 +195,24 @@ class TokenFiles:
                         i = j
 
         rows = [(p, b) for p, b, _, _ in self.parts]
-        manifest = spark.createDataFrame(rows, "part int, base long").repartition(max(1, len(rows)), "part")
-        return manifest.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+        manifest = spark.createDataFrame([(i, p, b) for i, (p, b) in enumerate(rows)], "i int, part int, base long").repartitionById(max(1, len(rows)), "i").select("part", "base")
+        return manifest.mapInArrow(workers.lean(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def write_tokens(documents: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> TokenFiles:
     """Encode whole texts and write the file set; the tokenizer file's path must exist on every machine."""
     spark = documents.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    workers.small_batches(spark)
     folder = folder or scratch.fresh(spark, "tokens")
     rows = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    bounds = np.array(sorted(cuts) if parts > 1 else [], np.int64)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size, least, greatest = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
+    parts = parts or max(1, -(-size // PART_BYTES), min(most, size // LEAST_BYTES))
+    ranges, steps = min(parts, CUTS), -(-parts // min(parts, CUTS))
+    parts = ranges * steps
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
+    bounds = np.array(sorted(cuts) if ranges > 1 else [], np.int64)
+    edges = np.concatenate([[least], bounds, [greatest]]).astype(np.float64)
     dtype = Encoder(tokenizer, 0).dtype
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +229,9 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int = 1, folder:
                 lo, hi = np.searchsorted(bounds, at, "left"), np.searchsorted(bounds, at, "right")
                 # Documents that share an id are dealt by ranges of their hash, so part order stays document order.
                 part = lo + order * (hi - lo + 1) // (1 << 32)
+                if steps > 1:
+                    step = np.minimum((at - edges[part]) / np.maximum(edges[part + 1] - edges[part], 1) * steps, steps - 1).astype(np.int64)
+                    part = part * steps + np.where(lo == hi, step, np.where(part == lo, steps - 1, 0))
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), doc, pa.array(order), pa.array(ids, pa.binary())], ["part", "doc_id", "hash", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +264,8 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int = 1, folder:
         if sinks:
             yield close()
 
-    placed = rows.mapInArrow(encode, "part int, doc_id long, hash long, ids binary").repartition(parts, "part").sortWithinPartitions("part", "doc_id", "hash", "ids")
-    made = sorted(placed.mapInArrow(write, "part int, n_documents long, n_tokens long").collect())
+    placed = rows.mapInArrow(workers.lean(encode, "encoder"), "part int, doc_id long, hash long, ids binary").repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "hash", "ids")
+    made = sorted(placed.mapInArrow(workers.lean(write, "encoder"), "part int, n_documents long, n_tokens long").collect())
     bases = np.concatenate([[0], np.cumsum([r.n_tokens for r in made])]).astype(int).tolist()
     return TokenFiles(folder, dtype.str, tuple((r.part, base, r.n_documents, r.n_tokens) for r, base in zip(made, bases)))
 

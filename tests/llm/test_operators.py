@@ -139,7 +139,7 @@ def test_op4_base_places_and_bounded_errors(spark):
     assert licenses.find_notices(df.filter("false")).count() == 0
 
 
-def test_op5_round_trip(docs, empty):
+def test_op5_round_trip(docs, empty, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -153,8 +153,10 @@ def test_op5_round_trip(docs, empty):
         ids = t.encode(text or "", add_special_tokens=False).ids + [1]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenfiles.token_table(table, path, parts=5).orderBy("start").collect()]
-    assert got == want
+    for cuts in (tokenfiles.CUTS, 2):
+        monkeypatch.setattr(tokenfiles, "CUTS", cuts)
+        got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenfiles.token_table(table.withColumn("part", F.lit("clash")), path, parts=6).orderBy("start").collect()]
+        assert got == want
     assert tokenfiles.token_table(empty, path).count() == 0
 
 
@@ -254,9 +256,28 @@ def test_op7_held_out_pages_and_broken_html(spark):
     assert {r.page_id: r.text for r in out}[2] == "" and len({r.page_id: r.text for r in out}[6]) > 60_000
 
 
-def test_op8_targets_and_fit():
-    assert mixing.targets([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
-    assert mixing.targets([10, 1000], [3, 1]) == [30, 980] and mixing.targets([0, 5], [1, 1]) == [0, 5] and mixing.targets([], []) == []
+def shares(sizes, weights, cap=3):
+    """Shares by rounds: whoever is above its cap stops, the rest is shared anew."""
+    out, left, active = [0.0] * len(sizes), sum(sizes), [i for i, s in enumerate(sizes) if s]
+    while active:
+        total = sum(weights[i] for i in active)
+        above = [i for i in active if left * weights[i] > cap * sizes[i] * total]
+        for i in active:
+            out[i] = float(cap * sizes[i]) if i in above else left * weights[i] / total
+        left -= sum(cap * sizes[i] for i in above)
+        active = [i for i in active if i not in above] if above else []
+    return out
+
+
+def test_op8_targets_against_rounds(spark):
+    r = random.Random(4)
+    for sizes in ([100, 100, 100], [10, 1000], [0, 5], [1, 1, 10**6], [r.choice([0, r.randint(1, 10 ** r.randint(1, 6))]) for _ in range(40)]):
+        names = [f"1s{i:03d}" for i in range(len(sizes) - 1)] + ["0"]
+        got = {x._source: x.target for x in mixing.targets(spark.createDataFrame(list(zip(names, sizes)), "_source string, source_size long")).collect()}
+        assert np.allclose([got[n] for n in names], shares(sizes, [i % 3 + 1 for i in range(len(sizes))]), rtol=1e-12), sizes
+
+
+def test_op8_fit():
     r = np.random.default_rng(5)
     for _ in range(30):
         lengths = np.unique(r.integers(1, 300, 40))
@@ -264,21 +285,35 @@ def test_op8_targets_and_fit():
         budget = float(r.random() * (lengths * counts).sum())
         take = mixing.fit(lengths, counts, budget)
         got = (take * lengths).sum()
-        assert (take <= counts).all() and got <= budget and budget - got < lengths.min() + 1
+        assert (take <= counts).all() and (take >= 0).all() and got <= budget and budget - got < 1 + (lengths.min() > budget) * lengths.min()
     assert mixing.fit(np.array([0, 7]), np.array([3, 1]), 5.0).tolist()[1] == 0
+    # Few, long documents: the best of all subsets.
+    for step in (1, 1000):
+        lengths = np.unique(r.integers(17_000 // step, 30_000 // step, 14)) * step
+        budget = int(0.6 * lengths.sum())
+        sums = {0}
+        for x in lengths.tolist():
+            sums |= {s + x for s in sums}
+        take = mixing.fit(lengths, np.ones(len(lengths), int), budget)
+        assert int((take * lengths).sum()) == max(s for s in sums if s <= budget)
 
 
 def test_op8_rows(docs, empty, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 4)
     hot = docs.select("doc_id", "text", "source").unionByName(docs.sparkSession.range(1000, 1200).selectExpr("id AS doc_id", "'three hot words' AS text", "'s1' AS source"))
+    # Rows of one id or none, which only their text tells apart, and rows that nothing tells apart.
+    hot = hot.unionByName(docs.sparkSession.range(90).selectExpr("if(id < 50, null, 77L) AS doc_id", "concat('null ids tie ', id) AS text", "'s2' AS source")).unionByName(docs.sparkSession.range(60).selectExpr("5L AS doc_id", "'all rows are equal here' AS text", "'s2' AS source"))
     out = mixing.mixed(hot).toPandas()
     again = mixing.mixed(hot.repartition(7)).toPandas()
-    key = ["doc_id", "size", "taken"]
-    assert out[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
+    key = ["doc_id", "text", "size", "taken"]
+    rows = lambda d: sorted(map(str, d[key].values.tolist()))
+    assert rows(out) == rows(again)
     assert len(out) == hot.count() and (out.taken <= 3 * out["size"]).all() and (out["size"] == out.text.map(lambda t: len(WORD.findall(t or "")))).all()
     for _, g in out.groupby(out.source.fillna("")):
         assert abs(g.taken.sum() - g.target.iat[0]) <= max(1, g["size"].max() / 2)
     assert mixing.mixed(empty).count() == 0
+    clash = mixing.mixed(docs.withColumn("size", F.lit("x")).withColumn("taken", F.lit("y")))
+    assert dict(clash.dtypes)["taken"] == "bigint" and clash.columns.count("size") == 1 and clash.count() == docs.count()
 
 
 def test_op9_against_brute_force(docs, empty):
