@@ -17,32 +17,39 @@ from spanveil.llm import decontaminate, mixing, nearcopies, scratch, tokenfiles,
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least 0.5 go."""
+    """Documents that score at least 0.5 go; null and empty texts have the score of no evidence and stay, repeated rows fare alike."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model, evidence=False).filter("score < 0.5").select(*docs.columns)
+    clash = {c: f"_doc_{c}" for c in docs.columns if c in ("score", "neighbours")}
+    kept = toxicity.scored(docs.withColumnsRenamed(clash), model, evidence=False).filter("score < 0.5")
+    return kept.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its group of near copies (5-gram Jaccard 0.8 or SimHash) stays, of repeated rows one; rows without an id stay."""
-    marked = scratch.written(nearcopies.near_copies(docs), "near-duplicates")
-    gone = marked.filter("doc_id <> component_id").select("doc_id").distinct()
-    repeated = marked.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if repeated:
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
-    return kept.select(*docs.columns)
+    """Of each group of near copies (5-gram Jaccard 0.8 or SimHash) one row stays.
+
+    It is that of the smallest id, ids before null; among rows of that id the
+    least by a hash of all columns.  So rows with unrelated texts stay whatever
+    their ids, null texts are copies of the empty text, of wholly equal rows one
+    stays, ties are broken alike in every run, and an empty table stays empty.
+    """
+    every = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    keyed = docs.withColumns({k: F.xxhash64(F.lit(k), *every) for k in ("_key1", "_key2")})
+    marked = nearcopies.near_copies(keyed, carry=("_key1", "_key2"))
+    kept = marked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key1", "_key2")).alias("k")).select("k._key1", "k._key2")
+    return keyed.join(scratch.written(kept, "near-duplicates"), ["_key1", "_key2"]).dropDuplicates(["_key1", "_key2"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of benchmark windows are cut out of the texts; documents of nothing else go."""
+    """Spans of benchmark windows are cut out of the texts, of very long ones too; documents of nothing else go; null and empty texts stay."""
     cut = decontaminate.remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stands as often as the mix takes it."""
-    mixed = mixing.mixed(docs).filter("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """A document stands as often as the mix takes it; texts without words take nothing of the budget and stay or go with their source's whole passes."""
+    mixed = mixing.mixed(docs.withColumnsRenamed({c: f"_doc_{c}" for c in docs.columns if c in mixing.ADDED})).filter("copies > 0")
+    copied = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return copied.select(*[F.col(f"_doc_{c}").alias(c) if c in mixing.ADDED else F.col(c) for c in docs.columns])
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
