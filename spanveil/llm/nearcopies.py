@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanveil.llm import bytescan, scratch, simhash, workers
 from spanveil.llm.components import connected_components
@@ -119,9 +120,11 @@ def _close(x: str, y: str):
 
 def jaccard_links(sets: DataFrame) -> DataFrame:
     """Links (u, v) between ``cls`` that join all whose ``grams`` reach the coefficient; rows of a ``cls`` have equal grams."""
-    posted = _posted(sets)
-    firsts = posted.groupBy("gram").agg(F.min(F.struct("cls", "n")).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    lists = scratch.written(posted.join(firsts.select("gram", F.col("f.cls").alias("first"), F.col("f.n").alias("first_n")), "gram"), "shingle-lists")
+    by = Window.partitionBy("gram").orderBy("cls")
+    # Rows stream through in order; lists of one member go.
+    first, after = F.first(F.struct("cls", "n")).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lead("cls").over(by)
+    lists = _posted(sets).withColumns({"f": first, "after": after}).filter("f.cls <> cls OR after IS NOT NULL")
+    lists = scratch.written(lists.select("gram", "cls", "n", F.col("f.cls").alias("first"), F.col("f.n").alias("first_n")), "shingle-lists")
     stars = lists.filter((F.col("cls") != F.col("first")) & _close("n", "first_n")).select(F.col("first").alias("u"), F.col("cls").alias("v"))
     edges = _verified(stars, sets)
     named = connected_components(edges)

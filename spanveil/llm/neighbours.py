@@ -9,29 +9,40 @@ by its exact distance.  A query rests when its k-th best verified distance is
 within the radius that the windows stand for.
 
 Scale: shards hold about ``SHARD`` vectors each, their number grows with the
-table; each query visits every shard, as a block of queries in one task, and a
-shard gives its k best only.  Equal vectors share all projections; they are
-collapsed to one row with their ``k`` smallest ids before anything else, so a
-vector that a third of the rows hold costs one row.
+table.  A shard is a partition that begins with its vectors; their arrays are
+sorted once, then all queries stream through in blocks, and each gives its k
+best only.  So what is shuffled is the vectors once, and the queries once for
+each shard.  Equal vectors share all projections; they are collapsed to one row
+with their ``k + 1`` smallest ids before anything else, by ranks that are
+limited before the shuffle, so a vector that a third of the rows hold costs one
+row.
 
 Vectors that are null, zero, empty or hold null or non-finite components take
 no part; vectors of another length than the query's are no candidates of it.
-Repeated ids are rows of their own, but a query never finds its own id.  An
-empty table gives an empty result; other columns are ignored.
+Rows equal in id and vector are one candidate; an id with several vectors is as
+many candidates, but a query never finds its own id.  A query row that stands
+several times gives its answers as often.  Ties of distance go to the smaller
+id.  An empty table gives an empty result; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from spanveil.llm import scratch
+from spanveil.llm import scratch, workers
 
 PROJECTIONS = 48
-SHARD = 8192
-BLOCK = 256
+SHARD = 1 << 15
+#: Vectors of a shard at least, where a table is cut for all cores.
+LEAST = 1024
+BLOCK = 64
 K = 10
 #: Share of directions in which a vector must collide.
 THRESHOLD = 0.7
@@ -55,7 +66,7 @@ class Shard:
         self.vectors = vectors
         self.axes = directions(vectors.shape[1])
         values = (vectors @ self.axes).T
-        self.order = np.argsort(values, axis=1, kind="stable")
+        self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(values, self.order, 1)
         self.need = int(np.ceil(THRESHOLD * len(values)))
         self.sample = vectors[np.random.default_rng(len(vectors)).permutation(len(vectors))[:SAMPLE]]
@@ -72,7 +83,7 @@ class Shard:
         radius = np.array([START * np.sqrt(((self.sample - q) ** 2).sum(1).min()) for q in queries]) + 1e-9
         lo = np.stack([np.searchsorted(self.sorted[j], at[:, j]) for j in range(m)], 1)
         hi = lo.copy()
-        counts = np.zeros((len(queries), n), np.int64)
+        counts = np.zeros((len(queries), n), np.uint8 if m < 256 else np.int32)
         out: list = [None] * len(queries)
         rest = np.arange(len(queries))
         while len(rest):
@@ -83,7 +94,7 @@ class Shard:
             for i, q in enumerate(rest.tolist()):
                 new = [self.order[j, x:y] for j, x, y in zip(range(m), a[i].tolist(), np.maximum(lo[q], a[i]).tolist())]
                 new += [self.order[j, x:y] for j, x, y in zip(range(m), hi[q].tolist(), b[i].tolist())]
-                counts[q] += np.bincount(np.concatenate(new), minlength=n)
+                counts[q] += np.bincount(np.concatenate(new), minlength=n).astype(counts.dtype)
                 rows = np.flatnonzero(counts[q] >= self.need)
                 if len(rows) >= k:
                     d = self.distances(rows, queries[q])
@@ -103,40 +114,68 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & good)
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy())[:-1]) if len(column) else []
+
+
+def _searcher(k: int, block: int):
+    """A task: rows of a shard, its vectors before the queries."""
+
+    def best(shards: dict[int, tuple[Shard, list[np.ndarray]]], keys: list[int], ids: list[np.ndarray], vectors: list[np.ndarray]) -> pa.RecordBatch:
+        out: list[tuple[int, int, int, float]] = []
+        sizes = np.array([len(v) for v in vectors])
+        for dim in np.unique(sizes).tolist():
+            if dim not in shards:
+                continue
+            shard, names = shards[dim]
+            mine = np.flatnonzero(sizes == dim).tolist()
+            # A query may meet itself, so one vector more.
+            for q, (rows, d) in zip(mine, shard.search(np.stack([vectors[q] for q in mine]), min(k + 1, len(names)))):
+                near = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)])
+                hits = sorted((float(d[j]), int(i)) for j in near.tolist() for i in names[rows[j]] if i != ids[q][0])
+                out += [(keys[q], int(ids[q][0]), i, x) for x, i in hits[:k]]
+        columns = list(zip(*out)) or [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["key", "query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        shards: dict[int, tuple[Shard, list[np.ndarray]]] | None = None
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            n = int((key < 0).sum())
+            if n:
+                held[0].extend(_lists(batch.column(1).slice(0, n)))
+                held[1].extend(_lists(batch.column(2).slice(0, n)))
+            if n < len(batch) and shards is None:
+                sizes = np.array([len(v) for v in held[1]])
+                groups = {d: np.flatnonzero(sizes == d).tolist() for d in np.unique(sizes).tolist()}
+                shards = {d: (Shard(np.stack([held[1][i] for i in g])), [held[0][i] for i in g]) for d, g in groups.items()}
+                held = ([], [])
+            for i in range(n, len(batch), block):
+                part = batch.slice(i, min(block, len(batch) - i))
+                yield best(shards, part.column(0).to_pylist(), _lists(part.column(1)), _lists(part.column(2)))
+
+    return run
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found, by Euclidean distance in double precision."""
-    rows = valid_vectors(vectors, id_col, vector_col)
-    asked = valid_vectors(queries, id_col, vector_col).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    spark = vectors.sparkSession
+    workers.small_batches(spark)
+    rows = valid_vectors(vectors, id_col, vector_col).dropDuplicates(["v", "vec_id"])
     # Equal vectors become one row with their k + 1 smallest ids: enough for any query, also one of them.
-    salted = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    distinct = scratch.written(salted.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")), "vectors")
-    shards = max(1, -(-distinct.count() // shard))
-    asked = scratch.written(asked, "queries")
-    blocks = max(1, -(-asked.count() // block))
-    left = distinct.select(F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "v", "ids")
-    right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)).cast("int").alias("block"), "query_id", "q")
-
-    def search(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        lengths = here["v"].str.len()
-        for dim, group in there.groupby(there["q"].str.len()):
-            mine = here[lengths == dim]
-            if not len(mine):
-                continue
-            index, ids = Shard(np.stack(mine["v"].to_numpy())), mine["ids"].to_numpy()
-            # A query may meet itself, so one vector more.
-            found_by = index.search(np.stack(group["q"].to_numpy()), min(k + 1, len(mine)))
-            for query_id, (found, distance) in zip(group["query_id"], found_by):
-                best = np.lexsort((found, distance))
-                cut = distance[best[min(k, len(best) - 1)]]
-                best = best[distance[best] <= cut]
-                out += [(query_id, int(i), float(d)) for f, d in zip(found[best], distance[best]) for i in ids[f] if i != query_id]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
-    top = F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k)
-    ranked = found.groupBy("query_id").agg(top.alias("top"))
-    return ranked.select("query_id", F.posexplode("top").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    distinct = scratch.written(rows.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
+    asked = scratch.written(valid_vectors(queries, id_col, vector_col).withColumn("key", F.monotonically_increasing_id()), "queries")
+    n = distinct.count()
+    shards = max(1, -(-n // shard), min(spark.sparkContext.defaultParallelism, n // LEAST))
+    of = F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")
+    left = distinct.select(of.alias("shard"), F.lit(-1).cast("long").alias("key"), "ids", "v")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "key", F.array("vec_id").alias("ids"), "v")
+    streams = left.unionByName(right).repartitionById(shards, "shard").sortWithinPartitions("key").select("key", "ids", "v")
+    found = streams.mapInArrow(workers.lean(_searcher(k, block)), "key long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

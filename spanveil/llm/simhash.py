@@ -189,14 +189,16 @@ def _links_of(rows: np.ndarray, ends: np.ndarray, bits: int) -> pa.RecordBatch:
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     workers.small_batches(documents.sparkSession)
-    marked = scratch.written(fingerprints(documents, id_col, text_col), "fingerprints")
-    classes = scratch.written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "fingerprint-classes")
-    edges = scratch.written(links(classes.select("fp"), bits), "simhash-links").distinct()
-    named = connected_components(edges)
-    linked = classes.join(named, classes.fp == named.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    members = linked.join(smallest, "component").select("fp", "component_id")
-    return marked.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with scratch.clearing(documents.sparkSession):
+        marked = scratch.written(fingerprints(documents, id_col, text_col), "fingerprints")
+        classes = scratch.written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "fingerprint-classes")
+        edges = scratch.written(links(classes.select("fp"), bits), "simhash-links").distinct()
+        named = connected_components(edges)
+        linked = classes.join(named, classes.fp == named.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+        smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        members = linked.join(smallest, "component").select("fp", "component_id")
+        rows = marked.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        return scratch.written(rows, "near-duplicates", stays=True)
 
 
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,10 @@ Inside, a document goes by its id and a hash of its text, so rows that share an
 id, or have none, keep their own coordinates.
 
 Defined cases: null texts have no words; texts shorter than the window have no
-edges; rows with a null or a shared doc_id are documents of their own; repeated
-rows repeat all their windows, so both lose them; an empty table gives an empty
-result; other columns are ignored.
+edges; very long texts are read whole; rows with a null or a shared doc_id are
+documents of their own; repeated rows repeat all their windows, so both lose
+them; nothing depends on an order, so there are no ties; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -39,10 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import bytescan, scratch
+from spanveil.llm import bytescan, scratch, workers
 
 WINDOW = 35
 GRAM = 8
+#: Segments of one minimizer from which its rows are dealt over several tasks, and over how many.
+HOT, SALTS = 4096, 32
 
 _GRAMS = bytescan.Powers(0xD6E8FEB86659FD93)
 _EDGES = bytescan.Powers(0xA0761D6478BD642F)
@@ -103,7 +106,7 @@ def path_segments(documents: DataFrame, window: int, gram: int) -> DataFrame:
                     ["m", "c", "k1", "k2", "at", "edges"],
                 )
 
-    return documents.select("k1", "k2", "text").mapInArrow(run, "m long, c long, k1 long, k2 int, at int, edges int")
+    return documents.select("k1", "k2", "text").mapInArrow(workers.lean(run), "m long, c long, k1 long, k2 int, at int, edges int")
 
 
 def _open_segments(wanted: DataFrame, documents: DataFrame, window: int) -> DataFrame:
@@ -129,23 +132,26 @@ def _open_segments(wanted: DataFrame, documents: DataFrame, window: int) -> Data
 
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("m", "at", "edges")).alias("list"))
     joined = documents.select("k1", "k2", "text").join(lists, ["k1", "k2"])
-    return joined.mapInArrow(run, "m long, e long, k1 long, k2 int, at int")
+    return joined.mapInArrow(workers.lean(run), "m long, e long, k1 long, k2 int, at int")
 
 
 def repeated_edges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Segments of repeated edges of keyed documents: k1, k2, at (first word of the first edge), edges."""
     every = scratch.written(path_segments(docs, window, gram), "segments")
     shared = scratch.written(
-        every.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("n > 1").select("m", (F.col("c0") < F.col("c1")).alias("branches")),
+        every.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("n > 1").select("m", (F.col("c0") < F.col("c1")).alias("branches"), (F.col("n") > HOT).alias("hot")),
         "shared-minimizers",
     )
-    known = scratch.written(every.join(shared, "m"), "shared-segments")
     place = ["k1", "k2", "at", "edges"]
+    # Rows of a hot minimizer are dealt over SALTS tasks; the narrow other side stands in each.
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*place), F.lit(SALTS))).otherwise(0).cast("int")
+    known = scratch.written(every.join(shared, "m").withColumn("salt", salt), "shared-segments")
     whole = known.filter("NOT branches").select(*place)
     branching = known.filter("branches")
     first = F.min(F.struct(*place))
-    contents = scratch.written(branching.groupBy("m", "c").agg(F.count(F.lit(1)).alias("n"), first.alias("first")), "branching-contents")
-    copied = branching.join(contents.filter("n > 1").select("m", "c"), ["m", "c"]).select(*place)
+    contents = scratch.written(branching.groupBy("m", "c", "hot").agg(F.count(F.lit(1)).alias("n"), first.alias("first")), "branching-contents")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = branching.join(contents.filter("n > 1").select("m", "c", F.explode(salts).alias("salt")), ["m", "c", "salt"]).select(*place)
     opened = scratch.written(_open_segments(contents.select("m", "first.*"), docs, window), "opened-edges")
     # One representative of each content is opened, so an edge seen twice lies in different contents.
     twice = opened.groupBy("m", "e").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m", "e")
@@ -159,7 +165,9 @@ _SPANS = "array<struct<first_word: int, n_words: int>>"
 def without_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per row: doc_id, n_words, spans of words under repeated edges (maximal), and the kept words joined by one space."""
     docs = _keyed(documents, id_col, text_col)
-    found = scratch.written(repeated_edges(docs, window, gram), "repeated-edges")
+    workers.small_batches(documents.sparkSession)
+    with scratch.clearing(documents.sparkSession):
+        found = scratch.written(repeated_edges(docs, window, gram), "repeated-edges", stays=True)
     lists = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "edges")).alias("list"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +206,7 @@ def without_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str
                     ["doc_id", "n_words", "spans", "kept"],
                 )
 
-    return docs.join(lists, ["k1", "k2"], "left").select("doc_id", "text", "list").mapInArrow(run, f"doc_id long, n_words long, spans {_SPANS}, kept string")
+    return docs.join(lists, ["k1", "k2"], "left").select("doc_id", "text", "list").mapInArrow(workers.lean(run), f"doc_id long, n_words long, spans {_SPANS}, kept string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,22 @@ def test_op3_recall_ties_and_invalid_vectors(spark):
     assert neighbours.nearest(few, few.filter("vec_id = 0")).count() == 3
 
 
+def test_op3_repeated_and_shared_ids(spark):
+    """Against brute force: a query's row twice, its vector under its own id often and once under another, ids with several vectors, clashing columns."""
+    g = np.random.default_rng(2)
+    v = g.standard_normal((60, 8))
+    rows = [(i, v[i]) for i in range(60)] + [(0, v[0]), (0, v[30])] + [(100, v[5])] * 12 + [(77, v[5]), (9, v[40]), (9, v[40])]
+    df = spark.createDataFrame([(i, [float(y) for y in x], "a", 1.0) for i, x in rows], "vec_id long, embedding array<double>, rank string, score double")
+    for parts in (1, 5):
+        got = neighbours.nearest(df.repartition(parts), df.filter("vec_id % 100 = 0").repartition(parts), shard=16).collect()
+        answers = Counter()
+        for q, x in rows:
+            if q % 100 == 0:
+                d = sorted((float(np.sqrt(((y - x) ** 2).sum())), i) for i, y in {(i, tuple(y)): (i, y) for i, y in rows}.values() if i != q)[:10]
+                answers.update((q, r, i, round(s, 9)) for r, (s, i) in enumerate(d, 1))
+        assert Counter((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == answers
+
+
 def test_op4_base_places_and_bounded_errors(spark):
     texts = ["Under the MIT License under, the\nmit-license", "undér the mit license", None, "", "x apache license version 2. CC BY-NC cc by ncx", "released undr the mit licence today", "all rights reserved all rights reserved", "word " * 5000 + "under the mit license"]
     df = spark.createDataFrame(list(enumerate(texts)) + [(3, "")], "doc_id long, text string").withColumn("spans", F.lit(1))
