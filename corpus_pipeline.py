@@ -34,9 +34,11 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     every = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
     keyed = docs.withColumns({k: F.xxhash64(F.lit(k), *every) for k in ("_key1", "_key2")})
-    marked = nearcopies.near_copies(keyed, carry=("_key1", "_key2"))
-    kept = marked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key1", "_key2")).alias("k")).select("k._key1", "k._key2")
-    return keyed.join(scratch.written(kept, "near-duplicates"), ["_key1", "_key2"]).dropDuplicates(["_key1", "_key2"]).select(*docs.columns)
+    with scratch.clearing(spark):
+        marked = nearcopies.near_copies(keyed, carry=("_key1", "_key2"))
+        kept = marked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key1", "_key2")).alias("k")).select("k._key1", "k._key2")
+        kept = scratch.written(kept, "near-duplicates", stays=True)
+    return keyed.join(kept, ["_key1", "_key2"]).dropDuplicates(["_key1", "_key2"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
