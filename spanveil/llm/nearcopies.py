@@ -9,6 +9,8 @@ sets posted under those members meet in a posting list.  The order puts common
 Scale: equal texts are collapsed first.  Two rounds verify candidates: each
 list's members against its least member, then the pairs of a list that lie in
 different components still.  A group of copies costs its size, not its square.
+Shingles are never stored for all documents: prefixes are read from the texts,
+and whole sets from one text of each class that a candidate pair holds.
 
 SimHash links (``simhash``, contract values) join components too.
 
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,38 +56,46 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]), pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
 
 
+def _made(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, list[bytes], np.ndarray, list[np.ndarray]]]:
+    """Chunk by chunk: first row, rows, texts, their hashes of words, their shingles."""
+    for c in bytescan.chunks(batch.column(text)):
+        texts = [c.text(i) for i in range(c.last - c.first)]
+        made = [shingles(t) for t in texts]
+        yield c.first, len(texts), texts, np.array([m[0] for m in made], np.uint64).view(np.int64), [m[1] for m in made]
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document, then one for each 5-gram that is common in the batch (gram and k set)."""
     for batch in batches:
-        names = ["doc_id", "cls", "fp", "grams", *batch.schema.names[2:]]
-        for c in bytescan.chunks(batch.column(1)):
-            n = c.last - c.first
-            texts = [c.text(i) for i in range(n)]
-            made = [shingles(t) for t in texts]
+        names = ["cls", "fp", "gram", "k", "doc_id", *batch.schema.names[2:]]
+        seen = [np.zeros(0, np.int64)]
+        for first, n, texts, cls, grams in _made(batch, 1):
             fp = np.fromiter(map(simhash.fingerprint_text, texts), np.uint64, n).view(np.int64)
-            cls = np.array([m[0] for m in made], np.uint64).view(np.int64)
-            carried = [x.slice(c.first, n) for x in batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, n), pa.array(cls), pa.array(fp), _lists([m[1] for m in made]), *carried], names)
+            seen += grams
+            none = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(fp), none, none, batch.column(0).slice(first, n), *(x.slice(first, n) for x in batch.columns[2:])], names)
+        gram, count = np.unique(np.concatenate(seen), return_counts=True)
+        often = count >= COMMON
+        n = int(often.sum())
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(gram[often]), pa.array(count[often]), *(pa.nulls(n, x.type) for x in (batch.column(0), *batch.columns[2:]))], names)
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        gram, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
-        often = n >= COMMON
-        yield pa.RecordBatch.from_arrays([pa.array(gram[often]), pa.array(n[often])], ["gram", "n"])
+        for _, _, _, cls, grams in _made(batch, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(cls), _lists(grams)], ["cls", "grams"])
 
 
-def _posted(sets: DataFrame) -> DataFrame:
+def _posted(texts: DataFrame, common: DataFrame) -> DataFrame:
     """gram, cls, n: every set under the members of its prefix."""
-    counts = sets.select("grams").mapInArrow(workers.lean(_common), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "gram").limit(MAX_COMMON).toArrow().sort_by("gram")
-    held = sets.sparkSession.sparkContext.broadcast((rows["gram"].to_numpy(), rows["n"].to_numpy()))
+    rows = common.groupBy("gram").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "gram").limit(MAX_COMMON).toArrow().sort_by("gram")
+    held = texts.sparkSession.sparkContext.broadcast((rows["gram"].to_numpy(), rows["k"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = held.value
-        for batch in batches:
-            lists, cls = batch.column(1), batch.column(0).to_numpy()
-            n = np.diff(lists.offsets.to_numpy())
-            gram, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+        for _, _, _, cls, grams in (m for batch in batches for m in _made(batch, 0)):
+            n = np.array([len(g) for g in grams])
+            gram, row = np.concatenate(grams), np.repeat(np.arange(len(n)), n)
             count = np.zeros(len(gram), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
@@ -95,17 +105,19 @@ def _posted(sets: DataFrame) -> DataFrame:
             prefix = n - -(-n * LEAST[0] // LEAST[1]) + 1
             first = order[place < prefix[row]]
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, prefix, 0))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gram[first]))], ["cls", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gram[first]))], ["cls", "n", "prefix"])
 
-    heads = sets.select("cls", "grams").mapInArrow(workers.lean(run), "cls long, n int, prefix array<long>")
+    heads = texts.select("text").mapInArrow(workers.lean(run), "cls long, n int, prefix array<long>")
     return heads.groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("gram"), "cls", "n")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets reach the coefficient."""
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets reach the coefficient; the sets are read again from one text of each class in question."""
     pairs = scratch.written(pairs.distinct(), "candidates")
     ids = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
-    few = scratch.written(sets.join(ids, "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams")), "candidate-sets")
+    wanted = classes.join(ids, "cls", "left_semi").select("t.*")
+    few = texts.join(wanted, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]).select("text").mapInArrow(workers.lean(_sets), "cls long, grams array<long>")
+    few = scratch.written(few, "candidate-sets")
     a, b = (few.select(F.col("cls").alias(x), F.col("grams").alias(f"{x}_grams")) for x in "uv")
     both = F.size(F.array_intersect("u_grams", "v_grams"))
     reach = both * sum(LEAST) >= (F.size("u_grams") + F.size("v_grams")) * LEAST[0]
@@ -118,38 +130,48 @@ def _close(x: str, y: str):
     return (F.col(x) * LEAST[1] >= F.col(y) * LEAST[0]) & (F.col(y) * LEAST[1] >= F.col(x) * LEAST[0])
 
 
-def jaccard_links(sets: DataFrame) -> DataFrame:
-    """Links (u, v) between ``cls`` that join all whose ``grams`` reach the coefficient; rows of a ``cls`` have equal grams."""
+def jaccard_links(texts: DataFrame, classes: DataFrame, common: DataFrame) -> DataFrame:
+    """Links (u, v) between classes that join all whose 5-grams reach the coefficient.
+
+    texts: t1, t2 (hashes) and text; classes: cls and the t1, t2 of one of its texts, as t; common: gram, k.
+    """
     by = Window.partitionBy("gram").orderBy("cls")
     # Rows stream through in order; lists of one member go.
     first, after = F.first(F.struct("cls", "n")).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lead("cls").over(by)
-    lists = _posted(sets).withColumns({"f": first, "after": after}).filter("f.cls <> cls OR after IS NOT NULL")
+    lists = _posted(texts, common).withColumns({"f": first, "after": after}).filter("f.cls <> cls OR after IS NOT NULL")
     lists = scratch.written(lists.select("gram", "cls", "n", F.col("f.cls").alias("first"), F.col("f.n").alias("first_n")), "shingle-lists")
     stars = lists.filter((F.col("cls") != F.col("first")) & _close("n", "first_n")).select(F.col("first").alias("u"), F.col("cls").alias("v"))
-    edges = _verified(stars, sets)
+    edges = _verified(stars, texts, classes)
     named = connected_components(edges)
     known = lists.join(named.withColumnRenamed("node", "cls"), "cls", "left").select("gram", "cls", "n", F.coalesce("component", "cls").alias("component"))
     mixed = known.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gram")
     known = scratch.written(known.join(mixed, "gram"), "mixed-lists")
     a, b = known.toDF("gram", "u", "n", "c"), known.toDF("gram", "v", "m", "d")
     cross = a.join(b, "gram").filter((F.col("c") != F.col("d")) & (F.col("u") < F.col("v")) & _close("n", "m")).select("u", "v")
-    out = edges.union(_verified(cross, sets))
+    out = edges.union(_verified(cross, texts, classes))
     scratch.dropped(lists, known)
     return out
 
 
+def texts_key(text: Column) -> Column:
+    return F.struct(F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2"))
+
+
 def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, cls (hash of the words), component (least cls reachable), component_id (least id there) and the carried columns of every row."""
     workers.small_batches(documents.sparkSession)
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carry)
-    schema = ", ".join(["doc_id long, cls long, fp long, grams array<long>", *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)])
-    marked = scratch.written(rows.mapInArrow(workers.lean(_read), schema), "shingles")
-    classes = scratch.written(marked.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp")), "shingle-classes")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = documents.select(texts_key(text).alias("t"), text.alias("text")).select("t.*", "text")
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), texts_key(text).alias("t"), *carry)
+    schema = ", ".join(["cls long, fp long, gram long, k long, doc_id long, t struct<t1: long, t2: long>", *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)])
+    read = scratch.written(rows.mapInArrow(workers.lean(_read), schema), "shingles")
+    marked, common = read.filter("gram IS NULL"), read.filter("gram IS NOT NULL").select("gram", "k")
+    classes = scratch.written(marked.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.min("t").alias("t")), "shingle-classes")
     prints = classes.groupBy("fp").agg(F.min("cls").alias("rep"))
     same = classes.join(prints, "fp").filter("cls <> rep").select(F.col("cls").alias("u"), F.col("rep").alias("v"))
     bits = simhash.links(prints.select("fp")).distinct()
     bits = bits.join(prints.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges = scratch.written(jaccard_links(marked.select("cls", "grams")).union(same).union(bits), "near-links")
+    edges = scratch.written(jaccard_links(texts, classes, common).union(same).union(bits), "near-links")
     named = connected_components(edges)
     linked = classes.join(named, classes.cls == named.node, "left").select("cls", "first_id", F.coalesce("component", "cls").alias("component"))
     smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
