@@ -10,7 +10,9 @@ Scale: equal texts are collapsed first.  Two rounds verify candidates: each
 list's members against its least member, then the pairs of a list that lie in
 different components still.  A group of copies costs its size, not its square.
 Shingles are never stored for all documents: prefixes are read from the texts,
-and whole sets from one text of each class that a candidate pair holds.
+and whole sets from one text of each class that a candidate pair still holds
+after a bitmap filter: the parities of ``SKETCH`` groups of shingles differ in no
+more groups than the sets differ in members, so pairs of more are no copies.
 
 SimHash links (``simhash``, contract values) join components too.
 
@@ -38,6 +40,8 @@ SIZE = 5
 LEAST = (4, 5)
 #: Orders the 5-grams: those counted so often within a batch, this many at most, stand last.
 COMMON, MAX_COMMON = 4, 500_000
+#: Bits of a class's parity bitmap.
+SKETCH = 2048
 
 
 def shingles(data: bytes, size: int = SIZE) -> tuple[int, np.ndarray]:
@@ -64,20 +68,28 @@ def _made(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, list[byt
         yield c.first, len(texts), texts, np.array([m[0] for m in made], np.uint64).view(np.int64), [m[1] for m in made]
 
 
+def sketches(grams: list[np.ndarray]) -> pa.Array:
+    """Per set the parities of its members by their lowest bits, as 64-bit integers."""
+    row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    group = np.concatenate(grams) & (SKETCH - 1) if grams else np.zeros(0, np.int64)
+    odd = np.bincount(row * SKETCH + group, minlength=len(grams) * SKETCH) & 1
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(grams) + 1) * (SKETCH // 64), pa.int32()), pa.array(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)))
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, then one for each 5-gram that is common in the batch (gram and k set)."""
     for batch in batches:
-        names = ["cls", "fp", "gram", "k", "doc_id", *batch.schema.names[2:]]
+        names = ["cls", "fp", "gram", "k", "n", "sketch", "doc_id", *batch.schema.names[2:]]
         seen = [np.zeros(0, np.int64)]
         for first, n, texts, cls, grams in _made(batch, 1):
             fp = np.fromiter(map(simhash.fingerprint_text, texts), np.uint64, n).view(np.int64)
             seen += grams
             none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(fp), none, none, batch.column(0).slice(first, n), *(x.slice(first, n) for x in batch.columns[2:])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(fp), none, none, pa.array([len(g) for g in grams], pa.int32()), sketches(grams), batch.column(0).slice(first, n), *(x.slice(first, n) for x in batch.columns[2:])], names)
         gram, count = np.unique(np.concatenate(seen), return_counts=True)
         often = count >= COMMON
         n = int(often.sum())
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(gram[often]), pa.array(count[often]), *(pa.nulls(n, x.type) for x in (batch.column(0), *batch.columns[2:]))], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(gram[often]), pa.array(count[often]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), *(pa.nulls(n, x.type) for x in (batch.column(0), *batch.columns[2:]))], names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +125,10 @@ def _posted(texts: DataFrame, common: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets reach the coefficient; the sets are read again from one text of each class in question."""
-    pairs = scratch.written(pairs.distinct(), "candidates")
+    u, v = (classes.select(F.col("cls").alias(x), F.col("set").alias(f"{x}_set")) for x in "uv")
+    differ = F.aggregate(F.zip_with("u_set.sketch", "v_set.sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    may = differ * sum(LEAST) <= (F.col("u_set.n") + F.col("v_set.n")) * (LEAST[1] - LEAST[0])
+    pairs = scratch.written(pairs.distinct().join(u, "u").join(v, "v").filter(may).select("u", "v"), "candidates")
     ids = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
     wanted = classes.join(ids, "cls", "left_semi").select("t.*")
     few = texts.join(wanted, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]).select("text").mapInArrow(workers.lean(_sets), "cls long, grams array<long>")
@@ -163,10 +178,10 @@ def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = documents.select(texts_key(text).alias("t"), text.alias("text")).select("t.*", "text")
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), texts_key(text).alias("t"), *carry)
-    schema = ", ".join(["cls long, fp long, gram long, k long, doc_id long, t struct<t1: long, t2: long>", *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)])
+    schema = ", ".join(["cls long, fp long, gram long, k long, n int, sketch array<long>, doc_id long, t struct<t1: long, t2: long>", *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)])
     read = scratch.written(rows.mapInArrow(workers.lean(_read), schema), "shingles")
     marked, common = read.filter("gram IS NULL"), read.filter("gram IS NOT NULL").select("gram", "k")
-    classes = scratch.written(marked.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.min("t").alias("t")), "shingle-classes")
+    classes = scratch.written(marked.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.min("t").alias("t"), F.first(F.struct("n", "sketch")).alias("set")), "shingle-classes")
     prints = classes.groupBy("fp").agg(F.min("cls").alias("rep"))
     same = classes.join(prints, "fp").filter("cls <> rep").select(F.col("cls").alias("u"), F.col("rep").alias("v"))
     bits = simhash.links(prints.select("fp")).distinct()
