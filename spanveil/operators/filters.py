@@ -35,16 +35,11 @@ FALSE_POSITIVES = (
     r"^ECLI:ES:\w+:\d{4}:\d+$",
 )
 # Words that are no entities.
-STOPWORDS = (
-    "quien quién quienes quiénes cual cuál cuales cuáles que qué donde dónde adonde adónde cuando cuándo como cómo cuanto cuánto cuanta cuánta yo tu tú el él ella ello nosotros nosotras vosotros vosotras ellos ellas usted ustedes "
-    "este esta esto estos estas ese esa eso esos esas aquel aquella aquello aquellos aquellas la los las un una unos unas asimismo además también tampoco demandante demandado demandada actor actora recurrente recurrido recurrida "
-    "apelante apelado querellante querellado querellada denunciante denunciado denunciada ejecutante ejecutado ejecutada subsidiariamente alternativamente conjuntamente solidariamente mancomunadamente expresamente tácitamente "
-    "implícitamente explícitamente parcialmente totalmente íntegramente terminaba finalmente inicialmente posteriormente seguidamente inmediatamente anteriormente"
-).split() + ["sin embargo", "no obstante", "por tanto", "por lo tanto"]
-SHORT_WORDS = "para pero sino pues tras ante bajo cabe con contra desde hasta hacia según sin sobre durante mediante excepto salvo".split()
-PLATFORMS = "whatsapp telegram signal messenger instagram facebook twitter tiktok linkedin snapchat discord slack teams skype zoom wechat viber wallapop vinted milanuncios idealista fotocasa infojobs imessage facetime".split()
-GENERIC = "estado estados unión union nación nacion parlamento consejo comisión comision gobierno ministerio tribunal juzgado congreso senado cortes europa asia africa américa america ria rgpd gdpr lopd lopdgdd lec lecrim lopj ce cp cc et conducta proceso principios reglamento directiva sentencia auto decreto states parliament council commission".split()
-ONE_WORD_ORGANISATIONS = "ETA TEDH CNI CESID NATO OTAN ONU UE UNESCO UNICEF EUROPOL INTERPOL FRONTEX Batasuna Sortu Bildu Podemos Ciudadanos Vox TSJ CGPJ BOE BOCG TSJC TSJPV".split()
+STOPWORDS = ("quien", "quién", "quienes", "quiénes", "cual", "cuál", "cuales", "cuáles", "que", "qué", "donde", "dónde", "adonde", "adónde", "cuando", "cuándo", "como", "cómo", "cuanto", "cuánto", "cuanta", "cuánta", "yo", "tu", "tú", "el", "él", "ella", "ello", "nosotros", "nosotras", "vosotros", "vosotras", "ellos", "ellas", "usted", "ustedes", "este", "esta", "esto", "estos", "estas", "ese", "esa", "eso", "esos", "esas", "aquel", "aquella", "aquello", "aquellos", "aquellas", "la", "los", "las", "un", "una", "unos", "unas", "asimismo", "además", "también", "tampoco", "demandante", "demandado", "demandada", "actor", "actora", "recurrente", "recurrido", "recurrida", "apelante", "apelado", "querellante", "querellado", "querellada", "denunciante", "denunciado", "denunciada", "ejecutante", "ejecutado", "ejecutada", "subsidiariamente", "alternativamente", "conjuntamente", "solidariamente", "mancomunadamente", "expresamente", "tácitamente", "implícitamente", "explícitamente", "parcialmente", "totalmente", "íntegramente", "terminaba", "finalmente", "inicialmente", "posteriormente", "seguidamente", "inmediatamente", "anteriormente", "sin embargo", "no obstante", "por tanto", "por lo tanto")
+SHORT_WORDS = ("para", "pero", "sino", "pues", "tras", "ante", "bajo", "cabe", "con", "contra", "desde", "hasta", "hacia", "según", "sin", "sobre", "durante", "mediante", "excepto", "salvo")
+PLATFORMS = ("whatsapp", "telegram", "signal", "messenger", "instagram", "facebook", "twitter", "tiktok", "linkedin", "snapchat", "discord", "slack", "teams", "skype", "zoom", "wechat", "viber", "wallapop", "vinted", "milanuncios", "idealista", "fotocasa", "infojobs", "imessage", "facetime")
+GENERIC = ("estado", "estados", "unión", "union", "nación", "nacion", "parlamento", "consejo", "comisión", "comision", "gobierno", "ministerio", "tribunal", "juzgado", "congreso", "senado", "cortes", "europa", "asia", "africa", "américa", "america", "ria", "rgpd", "gdpr", "lopd", "lopdgdd", "lec", "lecrim", "lopj", "ce", "cp", "cc", "et", "conducta", "proceso", "principios", "reglamento", "directiva", "sentencia", "auto", "decreto", "states", "parliament", "council", "commission")
+ONE_WORD_ORGANISATIONS = ("ETA", "TEDH", "CNI", "CESID", "NATO", "OTAN", "ONU", "UE", "UNESCO", "UNICEF", "EUROPOL", "INTERPOL", "FRONTEX", "Batasuna", "Sortu", "Bildu", "Podemos", "Ciudadanos", "Vox", "TSJ", "CGPJ", "BOE", "BOCG", "TSJC", "TSJPV")
 # Words before an entity that tell its category.
 PERSON_ANCHORS = ["don", "doña", "d.", "dña.", "d.ª", "sr.", "sra.", "señor", "señora", "letrado", "letrada", "abogado", "abogada", "procurador", "procuradora", "notario", "notaria", "magistrado", "magistrada", "juez", "jueza", "fray", "sor", "en representación de", "representado por", "representada por", "tutor de", "tutora de", "curador de", "curadora de", "hijo de", "hija de", "cónyuge de", "viudo de", "viuda de", "casado con", "casada con", "perito", "secretario judicial", "letrado de la administración", "LAJ", "agente judicial", "demandante", "demandado", "demandada", "denunciante", "denunciado", "denunciada", "recurrente", "recurrido", "recurrida", "apelante", "apelado", "apelada", "querellante", "querellado", "querellada", "ejecutante", "ejecutado", "ejecutada", "acusado", "acusada", "imputado", "imputada", "testigo", "declarante", "compareciente"]
 LOCATION_ANCHORS = ["calle", "c/", "avenida", "av.", "avda.", "plaza", "pza.", "paseo", "camino", "carretera", "ctra.", "glorieta", "travesía", "ronda", "vía", "sito en", "situada en", "situado en", "sita en", "finca registral", "finca catastral", "parcela", "inmueble sito", "local sito", "vivienda sita", "registro de la propiedad de", "registro civil de", "registro mercantil de", "domiciliado en", "domiciliada en", "con domicilio en", "vecino de", "vecina de", "residente en", "natural de", "municipio de", "localidad de", "provincia de", "partido judicial de", "término municipal de", "comunidad autónoma de"]

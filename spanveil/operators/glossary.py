@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,9 +76,36 @@ def replaced(detections: DataFrame, glossary: DataFrame, level: str = "INTERMEDI
 
 
 def anonymized(documents: DataFrame, replacements: DataFrame) -> DataFrame:
-    """doc_id, n_entities, anonymized of documents with replacements (not overlapping)."""
+    """doc_id, n_entities, anonymized of every document (replacements do not overlap; none: the text as it is)."""
     lists = replacements.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "alias"))).alias("spans"))
-    return documents.join(lists, "doc_id").select("doc_id", F.size("spans").cast("long").alias("n_entities"), spans.stitch(F.col("text"), F.col("spans")).alias("anonymized"))
+    done = documents.join(lists, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(lists.schema["spans"].dataType)))
+    return done.select("doc_id", F.size("spans").cast("long").alias("n_entities"), spans.stitch(F.col("text"), F.col("spans")).alias("anonymized"))
+
+
+def quoted(value: Column) -> Column:
+    """A pattern that matches the value itself."""
+    return F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def rewritten(text: Column, pattern: Column, aliases: Column, spaced: bool = False) -> Column:
+    """The text with every match of the pattern, whatever its case, replaced by ``aliases[lower(match)]``, in one pass.
+
+    spaced: a blank follows an alias that would touch a letter or digit.
+    """
+    parts = F.split(F.regexp_replace(text, F.concat(F.lit("(?iu)"), pattern), F.lit(f"{spans.OPEN}$0{spans.CLOSE}")), spans.OPEN)
+
+    def part(p: Column) -> Column:
+        n = F.instr(p, spans.CLOSE)
+        value, after = F.substring(p, F.lit(1), n - 1), F.substring(p, n + 1, F.length(p))
+        blank = F.when(after.rlike(r"^[\p{L}\p{N}]"), " ").otherwise("") if spaced else F.lit("")
+        return F.when(n > 0, F.concat(F.coalesce(aliases[F.lower(value)], value), blank, after)).otherwise(p)
+
+    return F.array_join(F.transform(parts, part), "")
+
+
+def _alternation(values: Column) -> Column:
+    """Quoted values, longest first, as one pattern; values: array<struct<n, value>> with n the negative length."""
+    return F.array_join(F.transform(F.array_sort(values), lambda v: quoted(v["value"])), "|")
 
 
 def merged_entries(entries: DataFrame) -> DataFrame:
@@ -91,19 +120,60 @@ def next_numbers(entries: DataFrame) -> DataFrame:
     return entries.select(F.regexp_extract("alias", r"^(.*)_\d+$", 1).alias("prefix"), number.alias("n")).filter("n IS NOT NULL").groupBy("prefix").agg(F.max("n").alias("last"))
 
 
-def missed(documents: DataFrame, glossary: DataFrame, replacements: DataFrame, least: int = 5) -> DataFrame:
-    """Glossary persons and organisations that still stand in the gaps between a document's replacements."""
-    lists = replacements.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.lit("\n").alias("alias")))).alias("spans"))
-    gaps = documents.join(lists, "doc_id", "left").select("doc_id", "project_id", F.lower(F.when(F.col("spans").isNull(), F.col("text")).otherwise(spans.stitch(F.col("text"), F.col("spans")))).alias("gaps"))
-    known = glossary.filter(F.col("category").isin("PERSON_NAME", "ORGANIZATION") & (F.length("original") >= least)).select("project_id", F.lower("original").alias("value"), "alias")
-    return gaps.join(known, "project_id").filter(F.col("gaps").contains(F.col("value"))).select("doc_id", "value", "alias")
+#: Letters of a window of text by which entries are looked up; shorter entries are not scanned for.
+WINDOW = 5
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, not anew inside every lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _gaps(documents: DataFrame, replacements: DataFrame) -> DataFrame:
+    """doc_id, project_id, spans and the texts between them: gaps, one more than spans."""
+    lists = replacements.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "alias"))).alias("spans"))
+    rows = documents.join(lists, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(lists.schema["spans"].dataType)))
+    n = F.size("spans")
+    at = lambda i, name, default: F.when((i >= 0) & (i < n), F.get("spans", i)[name]).otherwise(default)
+    begin, end = lambda i: at(i - 1, "end", F.lit(0)), lambda i: at(i, "start", F.length("text"))
+    gaps = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col("text"), begin(i) + 1, end(i) - begin(i)))
+    return rows.select("doc_id", "project_id", "spans", gaps.alias("gaps"))
+
+
+def missed(documents: DataFrame, glossary: DataFrame, replacements: DataFrame) -> DataFrame:
+    """Glossary persons and organisations that still stand, whatever their case, in the gaps between a document's replacements.
+
+    Entries are found by their first ``WINDOW`` letters: an equi-join with the
+    windows of the gaps, not of documents with all entries of their project.
+    """
+    gaps = _gaps(documents, replacements).select("doc_id", "project_id", F.lower(F.array_join("gaps", "\n")).alias("gaps"))
+    known = glossary.filter(F.col("category").isin("PERSON_NAME", "ORGANIZATION") & (F.length("original") >= WINDOW)).select("project_id", F.lower("original").alias("value"), "alias")
+    known = known.groupBy("project_id", "value").agg(F.min("alias").alias("alias")).withColumn("head", F.substring("value", 1, WINDOW))
+    windows = _bound(F.split("gaps", ""), lambda letters: F.transform(F.sequence(F.lit(1), F.size(letters) - WINDOW + 1), lambda i: F.concat(*[F.element_at(letters, i + j) for j in range(WINDOW)])))
+    seen = gaps.filter(F.length("gaps") >= WINDOW).select("doc_id", "project_id", F.explode(F.array_distinct(windows)).alias("head"))
+    tried = seen.join(known, ["project_id", "head"]).select("doc_id", "value", "alias")
+    return tried.join(gaps.select("doc_id", "gaps"), "doc_id").filter(F.col("gaps").contains(F.col("value"))).select("doc_id", "value", "alias")
+
+
+def rescanned(documents: DataFrame, glossary: DataFrame, replacements: DataFrame) -> DataFrame:
+    """doc_id and the anonymised text in which missed entries are replaced too, the longest first, outside of replacements."""
+    hits = missed(documents, glossary, replacements).groupBy("doc_id").agg(
+        _alternation(F.collect_list(F.struct((-F.length("value")).alias("n"), F.col("value")))).alias("pattern"), F.map_from_entries(F.collect_list(F.struct("value", "alias"))).alias("aliases")
+    )
+    rows = _gaps(documents, replacements).join(hits, "doc_id", "left")
+    letter = lambda x: F.when(x.rlike(r"^[\p{L}\p{N}]"), " ").otherwise("")
+    cleaned = F.when(F.col("pattern").isNull(), F.col("gaps")).otherwise(F.transform("gaps", lambda g: rewritten(g, F.col("pattern"), F.col("aliases"), spaced=True)))
+    piece = lambda z, i: F.concat(F.when(i > 0, F.concat(F.get("spans", i - 1)["alias"], letter(F.get(z["gaps"], i)))).otherwise(""), F.get(z["clean"], i))
+    pieces = _bound(F.struct("gaps", cleaned.alias("clean")), lambda z: F.transform(F.sequence(F.lit(0), F.size("spans")), lambda i: piece(z, i)))
+    return rows.select("doc_id", F.array_join(pieces, "").alias("text"))
 
 
 def apply_changes(texts: DataFrame, changes: DataFrame) -> DataFrame:
-    """Old aliases to new ones in all texts of a project, longest first; doc_id, project_id, text / project_id, old, new."""
-    lists = changes.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("old")).alias("n"), F.col("old"), F.col("new")))).alias("changes"))
-    changed = F.aggregate("changes", F.col("text"), lambda t, c: F.call_function("replace", t, c["old"], c["new"]))
-    return texts.join(lists, "project_id", "left").select("doc_id", "project_id", F.when(F.col("changes").isNull(), F.col("text")).otherwise(changed).alias("text"))
+    """Old aliases, whatever their case, to new ones in all texts of a project, longest first, in one pass; doc_id, project_id, text / project_id, old, new."""
+    old = F.lower("old")
+    once = changes.groupBy("project_id", old.alias("value")).agg(F.min("new").alias("new"))
+    lists = once.groupBy("project_id").agg(_alternation(F.collect_list(F.struct((-F.length("value")).alias("n"), F.col("value")))).alias("pattern"), F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("aliases"))
+    return texts.join(lists, "project_id", "left").select("doc_id", "project_id", F.when(F.col("pattern").isNull(), F.col("text")).otherwise(rewritten(F.col("text"), F.col("pattern"), F.col("aliases"))).alias("text"))
 
 
 def fuzzy_keys(keys: DataFrame, least: float = 90.0) -> DataFrame:

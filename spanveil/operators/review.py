@@ -2,41 +2,76 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanveil.functions import spans
 
-# Patterns of the export gate (severity), headers by document type, legal moves of document states, sanity rules.
-GATE = {
-    "DNI": (r"\b\d{8}[A-Z]\b", "CRITICAL"), "NIE": (r"\b[XYZ]\d{7}[A-Z]\b", "CRITICAL"), "IBAN": (r"\bES\d{22}\b", "CRITICAL"), "EMAIL": (r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "HIGH"),
-    "CREDIT_CARD": (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", "CRITICAL"), "PHONE": (r"\b[679]\d{8}\b", "HIGH"), "IP": (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "HIGH"),
-}
+# Patterns of the export gate (kind, pattern, severity).
+GATE = (
+    ("DNI/NIE", r"\b[0-9]{8}[A-Za-z]\b", "CRITICAL"),
+    ("NIE", r"\b[XYZxyz][0-9]{7}[A-Za-z]\b", "CRITICAL"),
+    ("Número Seguridad Social", r"\b\d{2}/\d{8}/\d{2}\b", "CRITICAL"),
+    ("IBAN", r"\b[A-Z]{2}\d{2}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{2}[-\s]?\d{10}\b", "CRITICAL"),
+    ("IBAN España", r"\bES\d{22}\b", "CRITICAL"),
+    ("Tarjeta Crédito", r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13})\b", "CRITICAL"),
+    ("Número Tarjeta", r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b", "CRITICAL"),
+    ("Pasaporte", r"\b[A-Z]{2}[0-9]{7}\b", "HIGH"),
+    ("Email", r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", "HIGH"),
+    ("Teléfono", r"\b(?:\+34|0034)?[6789]\d{8}\b", "HIGH"),
+)
+# Values that the gate lets through (aliases, case numbers).
+PASSES = (r"^[A-Za-z]+_\d+$", r"^\d+/\d{4}$")
+# Patterns of the head of a text by document type.
 TYPES = {
-    "SENTENCIA": ("SENTENCIA", "FALLO", "MAGISTRAD"), "ESCRITURA": ("ESCRITURA", "NOTARI", "PROTOCOLO"), "FACTURA": ("FACTURA", "IVA", "TOTAL"),
-    "RECURSO": ("RECURSO", "APELACI"), "DENUNCIA": ("DENUNCIA", "COMISAR"), "CONTRATO": ("CONTRATO", "CLÁUSULA"),
+    "SENTENCIA": (r"SENTENCIA", r"JUZGADO", r"TRIBUNAL", r"FALLO", r"MAGISTRAD[OA]", r"SALA\s+DE\s+LO", r"AUDIENCIA\s+PROVINCIAL", r"EN\s+NOMBRE\s+DEL\s+REY"),
+    "ESCRITURA": (r"ESCRITURA", r"NOTAR[IÍ]", r"PROTOCOLO", r"OTORGAMIENTO", r"FE\s+P[UÚ]BLICA", r"COMPARECE[N]?"),
+    "FACTURA": (r"FACTURA", r"BASE\s+IMPONIBLE", r"IVA", r"N[UÚ]MERO\s+DE\s+FACTURA", r"CONCEPTO\s+IMPORTE", r"TOTAL\s+FACTURA"),
+    "RECURSO": (r"RECURSO", r"APELACI[OÓ]N", r"CASACI[OÓ]N", r"SUPLICACI[OÓ]N", r"RECURRENTE"),
+    "DENUNCIA": (r"DENUNCIA", r"ATESTADO", r"DILIGENCIAS\s+PREVIAS", r"QUERELLA"),
+    "CONTRATO": (r"CONTRATO", r"CL[AÁ]USULA", r"PARTES\s+CONTRATANTES", r"ESTIPULACIONES"),
 }
+# Legal moves of document states, sanity rules.
 MOVES = (("PENDING", "INGESTED"), ("INGESTED", "DETECTING"), ("DETECTING", "DETECTED"), ("DETECTED", "ANONYMIZING"), ("ANONYMIZING", "ANONYMIZED"))
 SANITY = (("ESCRITURA", "PERSON_NAME", 1, "CRITICAL"), ("ESCRITURA", "DNI_NIE", 1, "CRITICAL"), ("SENTENCIA", "DATE", 1, "WARNING"), ("FACTURA", "ORGANIZATION", 1, "WARNING"), ("DENUNCIA", "PERSON_NAME", 1, "WARNING"))
 
 
-def gate(texts: DataFrame) -> DataFrame:
-    """Personal data left in texts: doc_id, kind, severity, value, start; aliases and n/yyyy are let through."""
+def violations(text: Column, strict: bool = True) -> Column:
+    """Personal data left in a text, by pattern, then place: array<struct<no, kind, severity, value, start>>.
+
+    Case is folded; without ``strict`` only critical kinds count; aliases and
+    case numbers are let through.
+    """
+
+    def of(no: int, kind: str, pattern: str, severity: str) -> Column:
+        found = F.filter(spans.extract(text, f"(?iu){pattern}"), lambda s: ~reduce(lambda a, p: a | s["value"].rlike(p), PASSES, F.lit(False)))
+        return F.transform(found, lambda s: F.struct(F.lit(no).alias("no"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), s["value"].alias("value"), s["start"].alias("start")))
+
+    return F.flatten(F.array(*[of(i, *g) for i, g in enumerate(GATE) if strict or g[2] == "CRITICAL"]))
+
+
+def gate(texts: DataFrame, strict: bool = True) -> DataFrame:
+    """Rows of violations: doc_id, no, kind, severity, value, start."""
+    return texts.select("doc_id", F.explode(violations(F.col("text"), strict)).alias("x")).select("doc_id", "x.*")
 
-    def of(kind: str, pattern: str, severity: str) -> Column:
-        return F.transform(spans.extract(F.col("text"), pattern), lambda s: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), s["value"].alias("value"), s["start"].alias("start")))
 
-    found = F.flatten(F.array(*[of(k, p, severity) for k, (p, severity) in GATE.items()]))
-    rows = texts.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
-    return rows.filter(~F.col("value").rlike(r"^[A-Za-z]+_\d+$") & ~F.col("value").rlike(r"^\d+/\d{4}$"))
+def gate_report(texts: DataFrame, most: int = 10, strict: bool = True) -> DataFrame:
+    """Per document with violations: counts by severity and the first ones, redacted."""
+    found = texts.select("doc_id", violations(F.col("text"), strict).alias("v")).filter(F.size("v") > 0)
+    n = lambda severity: F.size(F.filter("v", lambda x: x["severity"] == severity)).cast("long")
+    redacted = lambda v: F.when(F.length(v) > 4, F.concat(F.substring(v, 1, 3), F.lit("***"), F.substring(v, -1, 1))).otherwise("***")
+    first = F.transform(F.slice("v", 1, most), lambda x: F.concat_ws(":", x["kind"], redacted(x["value"])))
+    return found.select("doc_id", n("CRITICAL").alias("critical"), n("HIGH").alias("high"), F.array_join(first, ",").alias("first"))
 
 
-def gate_report(violations: DataFrame, most: int = 10) -> DataFrame:
-    """Per document: counts by severity and the first violations, redacted."""
-    redacted = F.concat(F.substring("value", 1, 3), F.lit("***"), F.substring("value", -1, 1))
-    first = F.slice(F.array_sort(F.collect_list(F.struct("start", "kind", redacted.alias("value")))), 1, most)
-    return violations.groupBy("doc_id").agg(F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "HIGH").alias("high"), F.array_join(F.transform(first, lambda v: F.concat_ws(":", v["kind"], v["value"])), ",").alias("first"))
+def exported(texts: DataFrame, path: str, strict: bool = True) -> int:
+    """Write the texts that the gate passes, one a line; the number that it refuses."""
+    checked = texts.select("doc_id", "text", F.size(violations(F.col("text"), strict)).alias("n"))
+    checked.filter("n = 0").select(F.regexp_replace("text", r"\R", " ").alias("value")).write.text(path)
+    return checked.filter("n > 0").count()
 
 
 def review_summary(reviews: DataFrame) -> DataFrame:
@@ -52,7 +87,7 @@ def review_summary(reviews: DataFrame) -> DataFrame:
 def classified(documents: DataFrame, header: int = 500) -> DataFrame:
     """doc_id, type and score: the largest share of a type's patterns in the head of the text; GENERIC at 0."""
     head = F.upper(F.substring("text", 1, header))
-    scores = F.array(*[F.struct((sum((F.when(head.contains(w), 1).otherwise(0) for w in words), F.lit(0)) / len(words)).alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("type")) for i, (k, words) in enumerate(TYPES.items())])
+    scores = F.array(*[F.struct((sum((F.when(head.rlike(w), 1).otherwise(0) for w in words), F.lit(0)) / len(words)).alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("type")) for i, (k, words) in enumerate(TYPES.items())])
     best = F.array_max(scores)
     return documents.select("doc_id", F.when(best["score"] > 0, best["type"]).otherwise("GENERIC").alias("type"), F.round(best["score"], 4).alias("score"))
 

@@ -129,12 +129,11 @@ def _legal(spark, sf_dir):
     return tokens(spark, sf_dir).withColumn("before", F.lag(kind).over(w)).filter(c("label").startswith("I-") & ~c("before").eqNullSafe(kind)).select("sent_id", "tok_no", "label")
 
 
-@query("det_13_json_and_repair", "SELECT doc_id, 0 AS \"start\", CAST(length(substr(text, 1, 12)) AS INT) AS \"end\" FROM documents WHERE substr(text, 1, 12) NOT LIKE '%\"%' AND substr(text, 1, 12) NOT LIKE '%\\%' AND substr(text, 1, 12) NOT LIKE '%' || chr(10) || '%'")
+@query("det_13_json_and_repair", "SELECT doc_id, 0 AS \"start\", CAST(length(text) AS INT) AS \"end\" FROM documents WHERE text IS NOT NULL")
 def _json(spark, sf_dir):
-    head = F.substring("text", 1, 12)
-    d = table(spark, sf_dir, "documents").filter(~head.contains('"') & ~head.contains("\\") & ~head.contains("\n"))
-    answer = F.concat(F.lit("Here you are:\n["), F.to_json(F.struct(head.alias("text"), F.lit("MISC").alias("category"), F.lit(3).alias("start"), F.lit(9).alias("end"))), F.lit("] done"))
-    rows = d.select("doc_id", "text", F.explode(detect.json_entities(answer)).alias("x"))
+    """A model's answer that quotes the whole text of each document, with wrong offsets."""
+    answer = F.concat(F.lit("Here you are:\n["), F.to_json(F.struct(c("text"), F.lit("MISC").alias("category"), F.lit(3).alias("start"), F.lit(9).alias("end"))), F.lit("] done"))
+    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text", F.explode(detect.json_entities(answer)).alias("x"))
     return rows.select("doc_id", detect.repaired(c("text"), c("x.text"), c("x.start"), c("x.end")).alias("r")).select("doc_id", c("r.start").cast("int").alias("start"), c("r.end").cast("int").alias("end"))
 
 

@@ -186,9 +186,11 @@ def _missed(spark, sf_dir):
     return a.exceptAll(b).agg(n).select(F.lit("missed").alias("kind"), "n").unionByName(b.exceptAll(a).agg(n).select(F.lit("spurious").alias("kind"), "n"))
 
 
-@query("set_05_requested_ids", "SELECT CASE WHEN o.o_orderkey IS NULL THEN 'not_found' WHEN o.o_orderstatus = 'O' THEN 'started' ELSE 'skipped' END AS outcome, count(*) AS n FROM (SELECT unnest(range(1, 20001)) AS id) r LEFT JOIN orders o ON o.o_orderkey = r.id GROUP BY 1")
+@query("set_05_requested_ids", "SELECT CASE WHEN o.o_orderkey IS NULL THEN 'not_found' WHEN o.o_orderstatus = 'O' THEN 'started' ELSE 'skipped' END AS outcome, count(*) AS n FROM (SELECT o_orderkey AS id FROM orders UNION ALL SELECT -c_custkey FROM customer) r LEFT JOIN orders o ON o.o_orderkey = r.id GROUP BY 1")
 def _requested(spark, sf_dir):
-    r = spark.range(1, 20001).join(table(spark, sf_dir, "orders").select(c("o_orderkey").cast("long").alias("id"), "o_orderstatus"), "id", "left")
+    """All orders are asked for, and as many absent ids as there are customers."""
+    o = table(spark, sf_dir, "orders").select(c("o_orderkey").cast("long").alias("id"), "o_orderstatus")
+    r = o.select("id").unionByName(customers(spark, sf_dir).select((-c("k")).alias("id"))).join(o, "id", "left")
     return r.groupBy(F.when(c("o_orderstatus").isNull(), "not_found").when(c("o_orderstatus") == "O", "started").otherwise("skipped").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -247,9 +249,11 @@ def _diff(spark, sf_dir):
     return project.segments(found(spark, sf_dir), documents(spark, sf_dir)).groupBy("doc_id", "is_entity").agg(F.count(F.lit(1)).alias("n"), F.sum(c("end") - c("start")).alias("chars"))
 
 
-@query("ops_01_exportable", "SELECT count(*) AS n FROM documents WHERE doc_id % 3 = 0 AND length(text) > 0")
+@query("ops_01_exportable", "SELECT doc_id FROM documents WHERE length(text) > 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL)")
 def _exportable(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter((c("doc_id") % 3 == 0) & (F.length("text") > 0)).agg(F.count(F.lit(1)).alias("n"))
+    """Documents with text that no reviewer refused (quality 0)."""
+    refused = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
+    return table(spark, sf_dir, "documents").filter(F.length("text") > 0).join(refused, "doc_id", "left_anti").select("doc_id")
 
 
 @query("snk_03_mapping_round_trip", f"{D} SELECT substr(category, 1, 3) AS prefix, max(id % 13) AS last FROM det GROUP BY 1")
@@ -293,13 +297,15 @@ def _joined(spark, sf_dir):
     return customers(spark, sf_dir).select(c("k").alias("id"), text.joined_letters(F.concat(F.lit("Nota: h "), F.substring("c_mktsegment", 1, 1), F.lit(" l a, y fin."))).alias("text"))
 
 
-@query("str_12_offset_map", "SELECT doc_id, CAST(0 AS BIGINT) AS wrong, CAST(length(regexp_replace(replace(substr(text, 1, 300), 'a', 'a  '), ' +', ' ', 'g')) AS BIGINT) AS chars FROM documents")
+@query("str_12_offset_map", "SELECT doc_id, CAST(0 AS BIGINT) AS wrong, CAST(length(regexp_replace(replace(text, 'a', 'a  '), ' +', ' ', 'g')) AS BIGINT) AS chars FROM documents")
 def _map(spark, sf_dir):
-    source = F.replace(F.substring("text", 1, 300), F.lit("a"), F.lit("​а  "))
+    """Whole texts: every character of the normalised one against that of the source at its place."""
+    source = F.replace("text", F.lit("a"), F.lit("​а  "))
     rows = table(spark, sf_dir, "documents").select("doc_id", source.alias("source")).select("doc_id", "source", text.mapped(c("source")).alias("m"))
-    chars, places = F.split("m.text", ""), F.col("m.char_map")
-    wrong = F.filter(F.arrays_zip(chars.alias("ch"), places.alias("at")), lambda p: (p["ch"] != F.translate(F.substring("source", p["at"] + 1, F.lit(1)), text.CYRILLIC, text.LATIN)))
-    return rows.select("doc_id", F.size(wrong).cast("long").alias("wrong"), F.length("m.text").cast("long").alias("chars"))
+    rows = rows.select("doc_id", F.split(F.translate("source", text.CYRILLIC, text.LATIN), "").alias("source"), F.split("m.text", "").alias("chars"), c("m.char_map").alias("places"), F.length("m.text").alias("n"))
+    # The array of one binds the split source, which is otherwise split again for each character.
+    wrong = F.transform(F.array("source"), lambda every: F.filter(F.arrays_zip(c("chars").alias("ch"), c("places").alias("at")), lambda p: p["ch"] != F.get(every, p["at"])))[0]
+    return rows.select("doc_id", F.size(wrong).cast("long").alias("wrong"), c("n").cast("long").alias("chars"))
 
 
 @query("det_09_keep_first")
@@ -311,9 +317,9 @@ def _keep_first(spark, sf_dir):
 @query("det_14_legal_titles", "SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'Juan García' AS value, CAST(3 + length(c_mktsegment) AS INT) AS \"start\" FROM customer")
 def _titles(spark, sf_dir):
     from spanveil.operators.detect import regex_detector
-    from spanveil.operators.patterns import CAP, Pattern, S
+    from spanveil.operators.patterns import Pattern
 
-    titles = (Pattern(0, "PERSON_NAME", rf"({CAP}(?:{S}{CAP})+)(?=,\s+(?:letrad[oa]|magistrad[oa]|procurador|procuradora|fiscal|notari[oa])\b)", 0.92, None, True),)
+    titles = (Pattern(0, "PERSON_NAME", r"([A-ZÁÉÍÓÚÑÜ][a-záéíóúñü]+(?:[^\S\n]+[A-ZÁÉÍÓÚÑÜ][a-záéíóúñü]+)+)(?=,\s+(?:letrad[oa]|magistrad[oa]|procurador|procuradora|fiscal|notari[oa])\b)", 0.92, None, True),)
     docs = customers(spark, sf_dir).select(c("k").alias("doc_id"), F.concat(F.lower("c_mktsegment"), F.lit(" y Juan García, letrado, vino.")).alias("text"))
     return regex_detector(docs, patterns=titles).select("doc_id", "value", "start")
 

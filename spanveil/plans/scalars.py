@@ -191,7 +191,7 @@ _docs("str_07_dashes", lambda: [_digest(text.dashes(_noisy(c("text")))).alias("d
 _docs("str_09_joined_lines", lambda: [_digest(text.joined_lines(F.replace("text", F.lit(".\n"), F.lit("\n")))).alias("digest")], "sha256(regexp_replace(replace(text, '.' || chr(10), chr(10)), '([\\p{L}\\p{N}\\p{M}_])\\n([\\p{L}\\p{N}\\p{M}_])', '\\1 \\2', 'g')) AS digest")
 _docs("str_10_single_spaces", lambda: [_digest(text.single_spaces(F.replace("text", F.lit(" "), F.lit("   ")))).alias("digest")], "sha256(regexp_replace(replace(text, ' ', '   '), ' +', ' ', 'g')) AS digest")
 _docs("str_13_detector_text", lambda: [_digest(text.detector_text(F.replace("text", F.lit("a"), F.lit("​а  ")))).alias("digest")], "sha256(regexp_replace(replace(text, 'a', 'a  '), ' +', ' ', 'g')) AS digest")
-_docs("str_17_mask", lambda: [text.mask(F.trim(F.regexp_replace(F.substring("text", 1, 60), r"\s+$", ""))).alias("masked")], "array_to_string(list_transform(regexp_split_to_array(trim(substr(text, 1, 60), ' ' || chr(10) || chr(9)), '[\\t\\n\\v\\f\\r ]+'), lambda w: repeat('*', greatest(length(w), 5))), ' ') AS masked")
+_docs("str_17_mask", lambda: [_digest(text.mask(F.regexp_replace(c("text"), r"^\s+|\s+$", ""))).alias("digest")], "sha256(array_to_string(list_transform(regexp_split_to_array(regexp_replace(text, '^[\\t\\n\\v\\f\\r ]+|[\\t\\n\\v\\f\\r ]+$', '', 'g'), '[\\t\\n\\v\\f\\r ]+'), lambda w: repeat('*', greatest(length(w), 5))), ' ')) AS digest")
 _docs("str_26_alias_number", lambda: [text.alias_number(c("text")).alias("number")], "CAST(CAST('0x' || substr(sha256(text), 1, 6) AS BIGINT) % 10000 AS BIGINT) AS number")
 _docs("str_27_redacted", lambda: [text.redacted(c("text")).alias("redacted")], "substr(text, 1, 3) || '***' || right(text, 1) AS redacted")
 _docs("str_25_without_accents", lambda: [_digest(text.without_accents(c("text"))).alias("digest")], "sha256(translate(text, 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN')) AS digest")

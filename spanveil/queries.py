@@ -12,4 +12,4 @@ _MODULES = (scalars, detections, anonymisation, flows, projects)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
-FLAGSHIP = "ano_01_anonymize"
+FLAGSHIP = "ano_01_anonymize_all_patterns"

@@ -137,3 +137,22 @@ def test_fuzzy_keys_find_all_pairs(spark):
         want = {(p, *pair) for p in (1, 2) for pair, r in ratios.items() if r >= least}
         assert {(r.project_id, r.key1, r.key2) for r in glossary.fuzzy_keys(rows, least).collect()} == want
     assert ratios["jose antonio fernandez lopez", "josé antonio fernandez lópez"] >= 90
+
+
+def test_missed_entries_are_replaced_outside_of_replacements(spark):
+    from spanveil.operators import glossary
+
+    docs = spark.createDataFrame([(1, "p", "ANA RUIZ vio a ana ruiz lópez y a Ana Ruizz en Acme. x@y.es"), (2, "p", "nada"), (3, "q", "Ana Ruiz"), (4, "p", None), (5, "p", "acme")], "doc_id long, project_id string, text string")
+    entries = spark.createDataFrame([("p", "PERSON_NAME", "Ana Ruiz", "Persona_001"), ("p", "PERSON_NAME", "Ana Ruiz López", "Persona_002"), ("p", "ORGANIZATION", "Acme", "Org_001"), ("p", "DATE", "vio a", "Fecha_001")], "project_id string, category string, original string, alias string")
+    done = spark.createDataFrame([(1, 0, 8, "Persona_001"), (1, 53, 59, "Email_001")], "doc_id long, start int, end int, alias string")
+    assert {(r.doc_id, r.value) for r in glossary.missed(docs, entries, done).collect()} == {(1, "ana ruiz"), (1, "ana ruiz lópez")}
+    out = {r.doc_id: r.text for r in glossary.rescanned(docs, entries, done).collect()}
+    assert out[1] == "Persona_001 vio a Persona_002 y a Persona_001 z en Acme. Email_001" and out[2] == "nada" and out[3] == "Ana Ruiz" and out[5] == "acme"
+
+
+def test_changes_fold_case_and_do_not_chain(spark):
+    from spanveil.operators import glossary
+
+    docs = spark.createDataFrame([(1, "p", "PERSONA_1 y persona_10, $Org_1\\E"), (2, "q", "Persona_1")], "doc_id long, project_id string, text string")
+    changes = spark.createDataFrame([("p", "Persona_1", "Persona_10"), ("p", "Persona_10", "Org_1"), ("p", "Org_1\\E", "$1")], "project_id string, old string, new string")
+    assert {r.doc_id: r.text for r in glossary.apply_changes(docs, changes).collect()} == {1: "Persona_10 y Org_1, $$1", 2: "Persona_1"}
