@@ -20,18 +20,18 @@ def extract(text: Column, pattern: str, group: int = 0, prefix_group: int | None
 
 
 def marked_spans(marked: Column) -> Column:
-    parts = F.split(marked, OPEN)
-    # Everything before the first mark is text; each later part is value, closing mark, text.
-    start = F.struct(F.length(F.element_at(parts, 1)).cast("int").alias("at"), F.array().cast("array<struct<start: int, end: int, value: string>>").alias("found"))
+    # Everything before the first mark is text; each later part is value, closing mark, text.  The parts are read once.
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start: int, end: int, value: string>>").alias("found"))
 
     def step(a: Column, p: Column) -> Column:
-        n = F.instr(p, CLOSE) - 1
+        n, head = F.instr(p, CLOSE) - 1, a["at"] < 0
+        one = F.struct(a["at"].alias("start"), (a["at"] + n).cast("int").alias("end"), F.substring(p, F.lit(1), n).alias("value"))
         return F.struct(
-            (a["at"] + F.length(p) - 1).cast("int").alias("at"),
-            F.concat(a["found"], F.array(F.struct(a["at"].alias("start"), (a["at"] + n).cast("int").alias("end"), F.substring(p, F.lit(1), n).alias("value")))).alias("found"),
+            F.when(head, F.length(p)).otherwise(a["at"] + F.length(p) - 1).cast("int").alias("at"),
+            F.when(head, a["found"]).otherwise(F.concat(a["found"], F.array(one))).alias("found"),
         )
 
-    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, step)["found"]
+    return F.aggregate(F.split(marked, OPEN), start, step)["found"]
 
 
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
