@@ -44,6 +44,8 @@ MAX_REPEATS = 3
 TABLE, WIDE = 1 << 20, 4
 #: Documents of one source and length in a bucket, on average.
 BUCKET = 4096
+#: The rows of one source and length are broadcast up to so many bytes, each with the source's name and ROW bytes; beyond that documents are shuffled to them.
+BROADCAST, ROW = 32 << 20, 192
 SEED = 7
 WORD = r"[^\x20\x09-\x0D]+"
 ADDED = ("size", "source_size", "target", "copies", "taken")
@@ -195,7 +197,8 @@ def mixed(documents: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_c
     ended = scratch.written(planned.join(ends, group, "left").select(*group, "source_size", "target", "base", "buckets", "end"), "mix-ends")
     more = F.coalesce(F.struct(bucket, *order, "_row") <= F.col("end"), F.lit(False)).cast("int")
     copies = F.col("base") + F.when(F.col("end").isNull(), 0).otherwise(more)
-    return sized.join(ended, group).select(*keep, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    held = ended.agg(F.coalesce(F.sum(F.octet_length("_source") + ROW), F.lit(0))).first()[0]
+    return sized.join(F.broadcast(ended) if held <= BROADCAST else ended, group).select(*keep, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

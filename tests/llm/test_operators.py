@@ -320,6 +320,7 @@ def test_op8_rows(docs, empty, monkeypatch):
     # Rows of one id or none, which only their text tells apart, and rows that nothing tells apart.
     hot = hot.unionByName(docs.sparkSession.range(90).selectExpr("if(id < 50, null, 77L) AS doc_id", "concat('null ids tie ', id) AS text", "'s2' AS source")).unionByName(docs.sparkSession.range(60).selectExpr("5L AS doc_id", "'all rows are equal here' AS text", "'s2' AS source"))
     out = mixing.mixed(hot).toPandas()
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
     again = mixing.mixed(hot.repartition(7)).toPandas()
     key = ["doc_id", "text", "size", "taken"]
     rows = lambda d: sorted(map(str, d[key].values.tolist()))
