@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _kept: dict[tuple, object] = {}
 
