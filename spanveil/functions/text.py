@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +20,10 @@ SINGLE_QUOTES, DOUBLE_QUOTES = "‘’‚‛′´", "“”„‟«»″"
 DASHES = "‐‑‒–—―−"
 ZERO_WIDTH = "​‌‍⁠﻿"
 CYRILLIC, LATIN = "АВЕКМНОРСТХаеорсухі", "ABEKMHOPCTXaeopcyxi"
+#: Characters of a piece of a batch of texts that are mapped at once.
+PIECE = 1 << 20
+#: No code point: a character that the offset map leaves out.
+GONE = 0x110000
 HONORIFICS = r"(?iu)^(?:don|doña|dña\.?|d\.ª?|sr\.?|sra\.?|srta\.?|dr\.?|dra\.?)\s+"
 LEGAL_SUFFIX = r"(?iu)[\s,]+(?:s\.?l\.?u?\.?|s\.?a\.?u?\.?|s\.?l\.?l\.?|s\.?c\.?|s\.?coop\.?|c\.?b\.?)$"
 
@@ -66,31 +74,42 @@ def joined_letters(x: Column) -> Column:
     return spans.stitch(x, found)
 
 
+def _mapped(t: str, plain: np.ndarray) -> tuple[str, np.ndarray]:
+    points = plain[np.frombuffer(t.encode("utf-32-le"), "<u4")]
+    places = np.flatnonzero(points != GONE)
+    blank = points[places] == 32
+    # A blank goes if what stands before it, the gone ones aside, is a blank.
+    blank[1:] &= blank[:-1].copy()
+    blank[:1] = False
+    places = places[~blank].astype("int32")
+    return points[places].tobytes().decode("utf-32-le"), places
+
+
+def mapped_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Texts with their maps, in pieces of about ``PIECE`` characters: the map of a batch takes many times the memory of its texts."""
+    plain = np.arange(0x110000, dtype="<u4")
+    for chars, to in ((SINGLE_QUOTES, "'"), (DOUBLE_QUOTES, '"'), (DASHES, "-"), (SPACES, " ")):
+        plain[[ord(ch) for ch in chars]] = ord(to)
+    plain[[ord(ch) for ch in CYRILLIC]] = [ord(ch) for ch in LATIN]
+    plain[[ord(ch) for ch in ZERO_WIDTH + "\u00ad"]] = GONE
+    for texts in batches:
+        begin, size = 0, 0
+        for i, n in enumerate(pc.utf8_length(texts).to_pylist(), 1):
+            size += n or 0
+            if size >= PIECE or i == len(texts):
+                done = [(None, None) if t is None else _mapped(t, plain) for t in texts.slice(begin, i - begin).to_pylist()]
+                yield pa.StructArray.from_arrays([pa.array([t for t, _ in done], pa.string()), pa.array([m for _, m in done], pa.list_(pa.int32()))], ["text", "char_map"])
+                begin, size = i, 0
+
+
 def mapped(x: Column) -> Column:
     """The text for detectors with the place of each of its characters in the source: struct<text, char_map>.
 
     Zero-width characters and soft hyphens go, runs of blanks become one, quotes,
-    dashes and Cyrillic twins become plain; an Arrow function, as the map is made
-    character by character.
+    dashes and Cyrillic twins become plain; an Arrow function over the code points
+    of each text.
     """
-    plain = {**{q: "'" for q in SINGLE_QUOTES}, **{q: '"' for q in DOUBLE_QUOTES}, **{d: "-" for d in DASHES}, **dict(zip(CYRILLIC, LATIN)), **{s: " " for s in SPACES if s not in ZERO_WIDTH}}
-    gone = set(ZERO_WIDTH + "\u00ad")
-
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out, maps = [], []
-        for t in texts:
-            chars, places = [], []
-            for i, ch in enumerate(t or ""):
-                ch = plain.get(ch, ch)
-                if ch in gone or (ch == " " and chars and chars[-1] == " "):
-                    continue
-                chars.append(ch)
-                places.append(i)
-            out.append(None if t is None else "".join(chars))
-            maps.append(None if t is None else places)
-        return pd.DataFrame({"text": out, "char_map": maps})
-
-    return F.pandas_udf(run, "text string, char_map array<int>")(x)
+    return F.arrow_udf(mapped_pieces, "text string, char_map array<int>")(x)
 
 
 def single_spaces(x: Column) -> Column:

@@ -304,7 +304,7 @@ def _map(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", source.alias("source")).select("doc_id", "source", text.mapped(c("source")).alias("m"))
     rows = rows.select("doc_id", F.split(F.translate("source", text.CYRILLIC, text.LATIN), "").alias("source"), F.split("m.text", "").alias("chars"), c("m.char_map").alias("places"), F.length("m.text").alias("n"))
     # The array of one binds the split source, which is otherwise split again for each character.
-    wrong = F.transform(F.array("source"), lambda every: F.filter(F.arrays_zip(c("chars").alias("ch"), c("places").alias("at")), lambda p: p["ch"] != F.get(every, p["at"])))[0]
+    wrong = F.transform(F.array("source"), lambda every: F.filter("chars", lambda ch, i: ch != F.get(every, F.get("places", i))))[0]
     return rows.select("doc_id", F.size(wrong).cast("long").alias("wrong"), c("n").cast("long").alias("chars"))
 
 

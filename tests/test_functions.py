@@ -156,3 +156,25 @@ def test_changes_fold_case_and_do_not_chain(spark):
     docs = spark.createDataFrame([(1, "p", "PERSONA_1 y persona_10, $Org_1\\E"), (2, "q", "Persona_1")], "doc_id long, project_id string, text string")
     changes = spark.createDataFrame([("p", "Persona_1", "Persona_10"), ("p", "Persona_10", "Org_1"), ("p", "Org_1\\E", "$1")], "project_id string, old string, new string")
     assert {r.doc_id: r.text for r in glossary.apply_changes(docs, changes).collect()} == {1: "Persona_10 y Org_1, $$1", 2: "Persona_1"}
+
+
+def test_offset_maps_come_in_bounded_pieces(spark):
+    import pyarrow as pa
+
+    odd = ["", "  a ​  b", "­­ x", None, "А  — “з” 😀  ⁠ z", " "]
+    long = ["a  ​" * (text.PIECE // 8)] * 5
+
+    def plain(t):
+        places, kept = [], ""
+        table = {"А": "A", " ": " ", "—": "-", "“": '"', "”": '"'}
+        for i, ch in enumerate(table.get(ch, ch) for ch in t):
+            if ch not in "​­⁠" and not (ch == " " and kept.endswith(" ")):
+                kept, places = kept + ch, [*places, i]
+        return kept, places
+
+    pieces = list(text.mapped_pieces(iter([pa.array([*odd, *long])])))
+    assert len(pieces) > 2 and all(sum(len(m or "") for m in p.field("char_map").to_pylist()) <= 2 * text.PIECE for p in pieces)
+    done = [(r["text"], r["char_map"]) for p in pieces for r in p.to_pylist()]
+    assert len(done) == len(odd) + len(long) and done[: len(odd)] == [(None, None) if t is None else plain(t) for t in odd]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i long, t string").select("i", text.mapped(F.col("t")).alias("m")).orderBy("i").collect()
+    assert [(r["m"]["text"], r["m"]["char_map"]) for r in rows if odd[r["i"]] is not None] == [plain(t) for t in odd if t is not None]
