@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from spanveil.functions import checks, dates, spans, text
 from spanveil.operators.merge import lookup
+from spanveil.operators.occurrences import occurrences
 
 # Alias prefix by category; others take the first three letters of the category.
 PREFIXES = {
@@ -120,8 +121,8 @@ def next_numbers(entries: DataFrame) -> DataFrame:
     return entries.select(F.regexp_extract("alias", r"^(.*)_\d+$", 1).alias("prefix"), number.alias("n")).filter("n IS NOT NULL").groupBy("prefix").agg(F.max("n").alias("last"))
 
 
-#: Letters of a window of text by which entries are looked up; shorter entries are not scanned for.
-WINDOW = 5
+#: Shorter entries are not scanned for.
+SHORTEST = 5
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -141,18 +142,11 @@ def _gaps(documents: DataFrame, replacements: DataFrame) -> DataFrame:
 
 
 def missed(documents: DataFrame, glossary: DataFrame, replacements: DataFrame) -> DataFrame:
-    """Glossary persons and organisations that still stand, whatever their case, in the gaps between a document's replacements.
-
-    Entries are found by their first ``WINDOW`` letters: an equi-join with the
-    windows of the gaps, not of documents with all entries of their project.
-    """
-    gaps = _gaps(documents, replacements).select("doc_id", "project_id", F.lower(F.array_join("gaps", "\n")).alias("gaps"))
-    known = glossary.filter(F.col("category").isin("PERSON_NAME", "ORGANIZATION") & (F.length("original") >= WINDOW)).select("project_id", F.lower("original").alias("value"), "alias")
-    known = known.groupBy("project_id", "value").agg(F.min("alias").alias("alias")).withColumn("head", F.substring("value", 1, WINDOW))
-    windows = _bound(F.split("gaps", ""), lambda letters: F.transform(F.sequence(F.lit(1), F.size(letters) - WINDOW + 1), lambda i: F.concat(*[F.element_at(letters, i + j) for j in range(WINDOW)])))
-    seen = gaps.filter(F.length("gaps") >= WINDOW).select("doc_id", "project_id", F.explode(F.array_distinct(windows)).alias("head"))
-    tried = seen.join(known, ["project_id", "head"]).select("doc_id", "value", "alias")
-    return tried.join(gaps.select("doc_id", "gaps"), "doc_id").filter(F.col("gaps").contains(F.col("value"))).select("doc_id", "value", "alias")
+    """Glossary persons and organisations that still stand, whatever their case, in the gaps between a document's replacements."""
+    gaps = _gaps(documents, replacements).select("doc_id", "project_id", F.lower(F.array_join("gaps", "\n")).alias("text"))
+    known = glossary.filter(F.col("category").isin("PERSON_NAME", "ORGANIZATION") & (F.length("original") >= SHORTEST)).select("project_id", F.lower("original").alias("value"), "alias")
+    known = known.groupBy("project_id", "value").agg(F.min("alias").alias("alias"))
+    return occurrences(gaps, known).select("doc_id", "value", "alias")
 
 
 def rescanned(documents: DataFrame, glossary: DataFrame, replacements: DataFrame) -> DataFrame:
