@@ -32,6 +32,8 @@ LEAST = 4
 BITS_EACH, MOST_BITS = 32, 1 << 29
 #: Places that are tested together.
 PIECE = 1 << 18
+#: Bytes of strings that a task hands on together.
+MOST_BYTES = 4 << 20
 _TOP = 5
 _U = np.uint32
 _JOIN = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], _U)
@@ -108,14 +110,50 @@ def _places(data: np.ndarray, ends: np.ndarray, by: np.ndarray, sizes: dict[int,
                 s, r = at[fits], row[fits]
                 whole = _set(bits, _whole(h[p][s], h[p][s + n - (1 << p)], n, by[r], shift))
                 s, r = a + s[whole], r[whole]
-                # Letters that begin before the end of the piece and go on behind it make no string.
+                # A letter that begins before the end and goes on behind it makes no string.
                 ended = (s + n == ends[r + 1]) | ((data[np.minimum(s + n, len(data) - 1)] & 0xC0) != 0x80)
                 if ended.any():
                     yield r[ended], s[ended], n
 
 
+def _once(data: np.ndarray, rows: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each string of n bytes once in a row, by comparing all its bytes."""
+
+    def part(k: int) -> np.ndarray:
+        """Bytes 8k to 8k + 8, the last ones again where fewer are left."""
+        at, out = min(8 * k, max(0, n - 8)), np.zeros(len(starts), np.uint64)
+        for i in range(at, min(at + 8, n)):
+            out = out << np.uint64(8) | data[starts + i]
+        return out
+
+    keys = [*map(part, range(-(-n // 8))), rows]
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    return rows[order[new]], starts[order[new]]
+
+
+def _groups(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about a piece of text together, one row at least."""
+    i = 0
+    while i < len(ends) - 1:
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + PIECE, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def _found(data: np.ndarray, ends: np.ndarray, by: np.ndarray, sizes: dict[int, list[int]], bits: np.ndarray, shift: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Rows, places and size, each string once in a row."""
+    for i, j in _groups(ends):
+        own: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        for rows, starts, n in _places(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i], by[i:j], sizes, bits, shift):
+            own[n].append((rows + i, starts + ends[i]))
+        for n, x in own.items():
+            yield *_once(data, np.concatenate([r for r, _ in x]), np.concatenate([s for _, s in x]), n), n
+
+
 def candidates(texts: DataFrame, entries: DataFrame) -> DataFrame:
-    """doc_id, project_id, value: pieces of texts that are known strings of the project but for wrong bits; texts: doc_id, project_id, text; entries: project_id, value."""
+    """doc_id, project_id, value, once for each row of texts: what stands there and is a known string of the project, but for wrong bits; texts: doc_id, project_id, text; entries: project_id, value."""
     spark = texts.sparkSession
     lengths = entries.groupBy(F.octet_length("value").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()
     sizes: dict[int, list[int]] = defaultdict(list)
@@ -139,22 +177,34 @@ def candidates(texts: DataFrame, entries: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches if sizes else ():
             data, ends = _bytes(batch.column(2))
-            for row, start, n in _places(data, ends, _projects(batch.column(1)), sizes, held.value, shift):
-                for i in range(0, len(row), max(1, (16 << 20) // n)):
-                    r, s = row[i : i + max(1, (16 << 20) // n)], start[i : i + max(1, (16 << 20) // n)]
+            own, values, size = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                rows = pa.array(np.concatenate(own))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.concat_arrays(values)], ["doc_id", "project_id", "value"])
+
+            for row, start, n in _found(data, ends, _projects(batch.column(1)), sizes, held.value, shift):
+                most = max(1, MOST_BYTES // n)
+                for r, s in ((row[i : i + most], start[i : i + most]) for i in range(0, len(row), most)):
                     pieces = data[s[:, None] + np.arange(n)].tobytes()
-                    value = pa.StringArray.from_buffers(len(r), pa.py_buffer((np.arange(len(r) + 1) * n).astype(np.int32)), pa.py_buffer(pieces))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), value], ["doc_id", "project_id", "value"])
+                    own.append(r)
+                    values.append(pa.StringArray.from_buffers(len(r), pa.py_buffer((np.arange(len(r) + 1) * n).astype(np.int32)), pa.py_buffer(pieces)))
+                    size += len(pieces)
+                    if size >= MOST_BYTES:
+                        yield out()
+                        own, values, size = [], [], 0
+            if own:
+                yield out()
 
     rows = texts.select("doc_id", "project_id", "text").filter("project_id IS NOT NULL AND text IS NOT NULL")
     return rows.mapInArrow(cut, rows.select("doc_id", "project_id", F.col("text").alias("value")).schema)
 
 
 def occurrences(texts: DataFrame, entries: DataFrame) -> DataFrame:
-    """doc_id and the rows of entries, once for each text of their project that contains their value.
+    """doc_id and the rows of entries, once for each row of texts of their project that contains their value.
 
     texts: doc_id, project_id, text; entries: project_id, value (once in a project) and more.
     """
     known = shared.written(entries.filter((F.octet_length("value") >= LEAST) & F.col("project_id").isNotNull()), "known-strings")
     tried = candidates(texts, known.select("project_id", "value"))
-    return tried.join(known, ["project_id", "value"]).select("doc_id", *entries.columns).distinct()
+    return tried.join(known, ["project_id", "value"]).select("doc_id", *entries.columns)

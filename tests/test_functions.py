@@ -153,9 +153,9 @@ def test_missed_entries_are_replaced_outside_of_replacements(spark):
 def test_names_that_begin_alike_cost_no_candidates(spark, monkeypatch):
     from spanveil.operators import occurrences as o
 
-    names = [f"maria {a}{b}" for a in "abcdefghij" for b in "klmnopqrst"] + ["ana ñu", "ñandú y", "maría de la concepción de los ángeles ruiz", "x" * 70, "a😀b"]
+    names = [f"maria {a}{b}" for a in "abcdefghij" for b in "klmnopqrst"] + ["ana ñu", "ñandú y", "maría de la concepción de los ángeles ruiz", "x" * 70, "a😀b", "x" * 8, "maria " * 3]
     known = spark.createDataFrame([(p, v) for p in ("p", "q", None) for v in names], "project_id string, value string")
-    texts = [" ".join(f"maria {chr(97 + i % 26)}{chr(97 + j)}" for j in range(26)) for i in range(26)] + ["banana ñudo", "ñandú yo", "ana ñ", "", None, "la maría de la concepción de los ángeles ruiz", "y" + "x" * 80, "xx", "a😀", "a😀bb", "maria", " ak"]
+    texts = [" ".join(f"maria {chr(97 + i % 26)}{chr(97 + j)}" for j in range(26)) for i in range(26)] + ["banana ñudo", "ñandú yo", "ana ñ", "", None, "la maría de la concepción de los ángeles ruiz", "y" + "x" * 80, "maria " * 5, "xx", "a😀", "a😀bb", "maria", " ak"]
     docs = [(i, p, t) for i, (p, t) in enumerate((p, t) for p in ("p", "r", None) for t in texts)]
     rows = spark.createDataFrame(docs, "doc_id long, project_id string, text string").coalesce(1)
     want = {(i, v) for i, p, t in docs for v in names if p == "p" and t is not None and v in t}
@@ -164,11 +164,11 @@ def test_names_that_begin_alike_cost_no_candidates(spark, monkeypatch):
         assert sorted((r.doc_id, r.value) for r in o.occurrences(rows, known).collect()) == sorted(want)
     monkeypatch.undo()
     # 26 documents of 100 names that share their first letters: no candidate but those that stand there.
-    assert o.candidates(rows, known.filter("project_id IS NOT NULL")).distinct().count() <= len(want) + 5
+    assert o.candidates(rows, known.filter("project_id IS NOT NULL")).count() <= len(want) + 5
     # A text that is read in pieces.
-    long = "é" * (o.PIECE // 2 - 3) + "maria ak" + "é" * o.PIECE + "maria bl"
+    long = "é" * (o.PIECE // 2 - 3) + "maria ak" + "é" * o.PIECE + "maria bl maria ak"
     rows = spark.createDataFrame([(1, "q", long), (2, "q", "maria"), (3, "q", " ak")], rows.schema)
-    assert {(r.doc_id, r.value) for r in o.occurrences(rows, known).collect()} == {(1, "maria ak"), (1, "maria bl")}
+    assert sorted((r.doc_id, r.value) for r in o.occurrences(rows, known).collect()) == [(1, "maria ak"), (1, "maria bl")]
     assert not o.occurrences(rows.limit(0), known).count() and not o.occurrences(rows, known.limit(0)).count()
 
 
