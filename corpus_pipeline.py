@@ -9,13 +9,28 @@ hold the stages against brute force.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import decontaminate, mixing, nearcopies, scratch, tokenfiles, toxicity
+from spanveil.llm import decontaminate, mixing, nearcopies, scratch, tokenfiles, toxicity, workers
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def begun_afresh(stage: Stage) -> Stage:
+    """Before the stage the executors give back what the stages before it have grown."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        workers.rested(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@begun_afresh
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least 0.5 go; null and empty texts have the score of no evidence and stay, repeated rows fare alike."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -24,6 +39,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
 
 
+@begun_afresh
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (5-gram Jaccard 0.8 or SimHash) one row stays.
 
@@ -41,12 +57,14 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keyed.join(kept, ["_key1", "_key2"]).dropDuplicates(["_key1", "_key2"]).select(*docs.columns)
 
 
+@begun_afresh
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of benchmark windows are cut out of the texts, of very long ones too; documents of nothing else go; null and empty texts stay."""
     cut = decontaminate.remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
+@begun_afresh
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document stands as often as the mix takes it; texts without words take nothing of the budget and stay or go with their source's whole passes."""
     mixed = mixing.mixed(docs.withColumnsRenamed({c: f"_doc_{c}" for c in docs.columns if c in mixing.ADDED})).filter("copies > 0")
@@ -54,6 +72,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return copied.select(*[F.col(f"_doc_{c}").alias(c) if c in mixing.ADDED else F.col(c) for c in docs.columns])
 
 
+@begun_afresh
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back."""
     import public_tokenizers
@@ -61,7 +80,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokenfiles.token_table(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxicity_stage),
     ("neardup", neardup_stage),
     ("decontamination", decontamination_stage),

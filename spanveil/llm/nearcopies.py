@@ -125,6 +125,7 @@ def _posted(texts: DataFrame, common: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets reach the coefficient; the sets are read again from one text of each class in question."""
+    workers.rested(texts.sparkSession)
     u, v = (classes.select(F.col("cls").alias(x), F.col("set").alias(f"{x}_set")) for x in "uv")
     differ = F.aggregate(F.zip_with("u_set.sketch", "v_set.sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
     may = differ * sum(LEAST) <= (F.col("u_set.n") + F.col("v_set.n")) * (LEAST[1] - LEAST[0])
@@ -180,6 +181,7 @@ def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), texts_key(text).alias("t"), *carry)
     schema = ", ".join(["cls long, fp long, gram long, k long, n int, sketch array<long>, doc_id long, t struct<t1: long, t2: long>", *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)])
     read = scratch.written(rows.mapInArrow(workers.lean(_read), schema), "shingles")
+    workers.rested(documents.sparkSession)
     marked, common = read.filter("gram IS NULL"), read.filter("gram IS NOT NULL").select("gram", "k")
     classes = scratch.written(marked.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.min("t").alias("t"), F.first(F.struct("n", "sketch")).alias("set")), "shingle-classes")
     prints = classes.groupBy("fp").agg(F.min("cls").alias("rep"))
@@ -187,6 +189,7 @@ def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bits = simhash.links(prints.select("fp")).distinct()
     bits = bits.join(prints.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     edges = scratch.written(jaccard_links(texts, classes, common).union(same).union(bits), "near-links")
+    workers.rested(documents.sparkSession)
     named = connected_components(edges)
     linked = classes.join(named, classes.cls == named.node, "left").select("cls", "first_id", F.coalesce("component", "cls").alias("component"))
     smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -3,7 +3,9 @@
 A worker process serves many tasks, one operator's after another's, and beside
 it stands an executor whose heap is bounded.  ``lean`` wraps the function of a
 task: what other operators left in the worker goes first, and freed memory
-returns to the system when the task ends.  ``small_batches`` bounds the bytes of
+returns to the system when the task ends.  ``rested`` has the executors collect
+their garbage, so that a stage does not begin with the heap, the generated
+classes and the buffers that the stage before it has grown.  ``small_batches`` bounds the bytes of
 the Arrow batches that a session sends to its workers, so that long texts do
 not make large batches.
 """
@@ -16,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -52,6 +55,12 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ke
     return task
 
 
+def rested(spark: SparkSession) -> None:
+    """A full collection in every executor, by a task for each core: memory that is free then returns to the system."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Lower the bound of bytes for each Arrow batch to ``most``, unless it is lower."""
     now = spark.conf.get(_BYTES).rstrip("b")

@@ -4,10 +4,11 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 from test_operators import shares
 
-from spanveil.llm import decontaminate, mixing, nearcopies, simhash, toxicity
+from spanveil.llm import decontaminate, mixing, nearcopies, simhash, toxicity, workers
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,6 +27,25 @@ def least_of_groups(rows):
     return sorted(min(d for (_, d), x in zip(made, name) if x == n) for n in set(name))
 
 
+def test_every_stage_begins_when_executors_have_given_back(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory
+    collections = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = collections()
+    workers.rested(spark)
+    assert collections() > before
+
+    class Stop(Exception):
+        pass
+
+    def stop(_):
+        raise Stop
+
+    monkeypatch.setattr(workers, "rested", stop)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Stop):
+            stage(spark, None, SF)
+
+
 def test_stages_do_what_they_say(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names, seen = docs.columns, {}
