@@ -4,11 +4,15 @@ The similarity is the exact Jaccard coefficient of the sets of word 5-grams (of
 a shorter text, the text).  Of two sets that reach ``least``, the first
 ``n - ceil(least * n) + 1`` members in one common order share a member, so the
 sets posted under those members meet in a posting list.  The order puts common
-5-grams last, which keeps lists short; any order loses nothing.
+5-grams last, by counts of cells into which 5-grams are hashed; that keeps lists
+short, and any order loses nothing.  Of all lists where a pair meets, that of its
+first common member counts: no common member stands before it, so enough members
+must stand from there on in both sets, and a pair for which they do not is left
+to another list or is none.
 
 Scale: equal texts are collapsed first.  Two rounds verify candidates: each
 list's members against its least member, then the pairs of a list that lie in
-different components still.  A group of copies costs its size, not its square.
+different components still and may have their first common member there.  A group of copies costs its size, not its square.
 Shingles are never stored for all documents: prefixes are read from the texts,
 and whole sets from one text of each class that a candidate pair still holds
 after a bitmap filter: the parities of ``SKETCH`` groups of shingles differ in no
@@ -24,6 +28,7 @@ result; other columns are ignored, but for those named in ``carry``.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +43,8 @@ from spanveil.llm.components import connected_components
 
 SIZE = 5
 LEAST = (4, 5)
-#: Orders the 5-grams: those counted so often within a batch, this many at most, stand last.
-COMMON, MAX_COMMON = 4, 500_000
+#: Orders the 5-grams: cells of counts, in so many slices; a task counts to 65,535 in a cell.
+CELLS, SLICES = 1 << 22, 64
 #: Bits of a class's parity bitmap.
 SKETCH = 2048
 
@@ -76,20 +81,47 @@ def sketches(grams: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(grams) + 1) * (SKETCH // 64), pa.int32()), pa.array(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)))
 
 
+def cells(grams: np.ndarray) -> np.ndarray:
+    """The cell of each 5-gram, from its highest bits."""
+    return (grams.view(np.uint64) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, then one for each 5-gram that is common in the batch (gram and k set)."""
+    """A row for each document, then one for each slice of the task's counts (slice and counts set)."""
+    total, seen, held = np.zeros(CELLS, np.uint16), [], 0
+    empty = None
+
+    def count() -> None:
+        total[:] = np.minimum(total + np.bincount(cells(np.concatenate(seen)), minlength=CELLS), 65_535)
+        seen.clear()
+
     for batch in batches:
-        names = ["cls", "fp", "gram", "k", "n", "sketch", "doc_id", *batch.schema.names[2:]]
-        seen = [np.zeros(0, np.int64)]
+        names = ["cls", "fp", "slice", "counts", "n", "sketch", "doc_id", *batch.schema.names[2:]]
+        empty = batch.slice(0, 0)
         for first, n, texts, cls, grams in _made(batch, 1):
             fp = np.fromiter(map(simhash.fingerprint_text, texts), np.uint64, n).view(np.int64)
             seen += grams
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(fp), none, none, pa.array([len(g) for g in grams], pa.int32()), sketches(grams), batch.column(0).slice(first, n), *(x.slice(first, n) for x in batch.columns[2:])], names)
-        gram, count = np.unique(np.concatenate(seen), return_counts=True)
-        often = count >= COMMON
-        n = int(often.sum())
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(gram[often]), pa.array(count[often]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), *(pa.nulls(n, x.type) for x in (batch.column(0), *batch.columns[2:]))], names)
+            held += sum(map(len, grams))
+            if held > CELLS // 4:
+                count()
+                held = 0
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(fp), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([len(g) for g in grams], pa.int32()), sketches(grams), batch.column(0).slice(first, n), *(x.slice(first, n) for x in batch.columns[2:])], names)
+    if seen:
+        count()
+    if empty is not None:
+        made = [(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(total.reshape(SLICES, -1)) if x.any()]
+        n = len(made)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([k for k, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), *(pa.nulls(n, x.type) for x in (empty.column(0), *empty.columns[2:]))], names)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each slice's counts of all tasks, as unsigned 32-bit integers."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x = np.frombuffer(zlib.decompress(x), np.uint16)
+            sums[k] = sums.get(k, 0) + x.astype(np.uint32)
+    yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,21 +130,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(cls), _lists(grams)], ["cls", "grams"])
 
 
-def _posted(texts: DataFrame, common: DataFrame) -> DataFrame:
-    """gram, cls, n: every set under the members of its prefix."""
-    rows = common.groupBy("gram").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "gram").limit(MAX_COMMON).toArrow().sort_by("gram")
-    held = texts.sparkSession.sparkContext.broadcast((rows["gram"].to_numpy(), rows["k"].to_numpy()))
+def _posted(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """gram, cls, n, place: every set under the members of its prefix, and how many of its members stand before each."""
+    total = np.zeros((SLICES, CELLS // SLICES), np.uint32)
+    for x in counts.repartition("slice").mapInArrow(workers.lean(_summed), "slice int, counts binary").collect():
+        total[x.slice] = np.frombuffer(x.counts, np.uint32)
+    held = texts.sparkSession.sparkContext.broadcast(total.reshape(-1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = held.value
+        often = held.value
         for _, _, _, cls, grams in (m for batch in batches for m in _made(batch, 0)):
             n = np.array([len(g) for g in grams])
             gram, row = np.concatenate(grams), np.repeat(np.arange(len(n)), n)
-            count = np.zeros(len(gram), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-                count = np.where(known[at] == gram, often[at], 0)
-            order = np.lexsort((gram, count, row))
+            order = np.lexsort((gram, often[cells(gram)], row))
             place = np.arange(len(gram)) - np.repeat(np.cumsum(n) - n, n)
             prefix = n - -(-n * LEAST[0] // LEAST[1]) + 1
             first = order[place < prefix[row]]
@@ -120,7 +150,7 @@ def _posted(texts: DataFrame, common: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gram[first]))], ["cls", "n", "prefix"])
 
     heads = texts.select("text").mapInArrow(workers.lean(run), "cls long, n int, prefix array<long>")
-    return heads.groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("gram"), "cls", "n")
+    return heads.groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select(F.posexplode("prefix").alias("place", "gram"), "cls", "n").select("gram", "cls", "n", "place")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -146,24 +176,32 @@ def _close(x: str, y: str):
     return (F.col(x) * LEAST[1] >= F.col(y) * LEAST[0]) & (F.col(y) * LEAST[1] >= F.col(x) * LEAST[0])
 
 
-def jaccard_links(texts: DataFrame, classes: DataFrame, common: DataFrame) -> DataFrame:
+def _first_common(n: str, i: str, m: str, j: str):
+    """Whether sets of n and m members may have their first common member at their places i and j: the common ones, at least the share ``LEAST`` asks of both, all stand from there on."""
+    return F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) * sum(LEAST) >= (F.col(n) + F.col(m)) * LEAST[0]
+
+
+def jaccard_links(texts: DataFrame, classes: DataFrame, counts: DataFrame) -> DataFrame:
     """Links (u, v) between classes that join all whose 5-grams reach the coefficient.
 
-    texts: t1, t2 (hashes) and text; classes: cls and the t1, t2 of one of its texts, as t; common: gram, k.
+    texts: t1, t2 (hashes) and text; classes: cls and the t1, t2 of one of its texts, as t; counts: slice and counts of tasks, from ``_read``.
     """
     by = Window.partitionBy("gram").orderBy("cls")
     # Rows stream through in order; lists of one member go.
     first, after = F.first(F.struct("cls", "n")).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lead("cls").over(by)
-    lists = _posted(texts, common).withColumns({"f": first, "after": after}).filter("f.cls <> cls OR after IS NOT NULL")
-    lists = scratch.written(lists.select("gram", "cls", "n", F.col("f.cls").alias("first"), F.col("f.n").alias("first_n")), "shingle-lists")
+    lists = _posted(texts, counts).withColumns({"f": first, "after": after}).filter("f.cls <> cls OR after IS NOT NULL")
+    lists = scratch.written(lists.select("gram", "cls", "n", "place", F.col("f.cls").alias("first"), F.col("f.n").alias("first_n")), "shingle-lists")
     stars = lists.filter((F.col("cls") != F.col("first")) & _close("n", "first_n")).select(F.col("first").alias("u"), F.col("cls").alias("v"))
     edges = _verified(stars, texts, classes)
     named = connected_components(edges)
-    known = lists.join(named.withColumnRenamed("node", "cls"), "cls", "left").select("gram", "cls", "n", F.coalesce("component", "cls").alias("component"))
+    known = lists.join(named.withColumnRenamed("node", "cls"), "cls", "left").select("gram", "cls", "n", "place", F.coalesce("component", "cls").alias("component"))
     mixed = known.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gram")
     known = scratch.written(known.join(mixed, "gram"), "mixed-lists")
-    a, b = known.toDF("gram", "u", "n", "c"), known.toDF("gram", "v", "m", "d")
-    cross = a.join(b, "gram").filter((F.col("c") != F.col("d")) & (F.col("u") < F.col("v")) & _close("n", "m")).select("u", "v")
+    # The smaller set's common members are at least 8 of 9 of its own, so it stands early in the list's order.
+    early = known.filter((F.col("n") - F.col("place")) * sum(LEAST) >= F.col("n") * 2 * LEAST[0])
+    a, b = early.toDF("gram", "u", "n", "i", "c"), known.toDF("gram", "v", "m", "j", "d")
+    smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("u") < F.col("v")))
+    cross = a.join(b, "gram").filter((F.col("c") != F.col("d")) & smaller & _first_common("n", "i", "m", "j")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     out = edges.union(_verified(cross, texts, classes))
     scratch.dropped(lists, known)
     return out
@@ -179,16 +217,16 @@ def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = documents.select(texts_key(text).alias("t"), text.alias("text")).select("t.*", "text")
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), texts_key(text).alias("t"), *carry)
-    schema = ", ".join(["cls long, fp long, gram long, k long, n int, sketch array<long>, doc_id long, t struct<t1: long, t2: long>", *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)])
+    schema = ", ".join(["cls long, fp long, slice int, counts binary, n int, sketch array<long>, doc_id long, t struct<t1: long, t2: long>", *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)])
     read = scratch.written(rows.mapInArrow(workers.lean(_read), schema), "shingles")
     workers.rested(documents.sparkSession)
-    marked, common = read.filter("gram IS NULL"), read.filter("gram IS NOT NULL").select("gram", "k")
+    marked, counts = read.filter("slice IS NULL"), read.filter("slice IS NOT NULL").select("slice", "counts")
     classes = scratch.written(marked.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.min("t").alias("t"), F.first(F.struct("n", "sketch")).alias("set")), "shingle-classes")
     prints = classes.groupBy("fp").agg(F.min("cls").alias("rep"))
     same = classes.join(prints, "fp").filter("cls <> rep").select(F.col("cls").alias("u"), F.col("rep").alias("v"))
     bits = simhash.links(prints.select("fp")).distinct()
     bits = bits.join(prints.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges = scratch.written(jaccard_links(texts, classes, common).union(same).union(bits), "near-links")
+    edges = scratch.written(jaccard_links(texts, classes, counts).union(same).union(bits), "near-links")
     workers.rested(documents.sparkSession)
     named = connected_components(edges)
     linked = classes.join(named, classes.cls == named.node, "left").select("cls", "first_id", F.coalesce("component", "cls").alias("component"))

@@ -1,5 +1,6 @@
 """The corpus pipeline stage by stage."""
 
+import random
 import re
 from collections import Counter
 
@@ -128,3 +129,23 @@ def test_near_copies_against_brute_force(spark):
             if 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])):
                 n = len(sets[a] & sets[b])
                 assert 9 * n < 4 * (len(sets[a]) + len(sets[b])) or got[a] == got[b], (a, b)
+
+
+def test_texts_that_only_share_passages_are_not_compared(spark, monkeypatch):
+    """Of texts that share a third of their words with two others or a common opening with all, no pairs are made; near copies that sit in a cluster at the bound are joined all the same."""
+    made, verified = [], nearcopies._verified
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(nearcopies, "_verified", counted)
+    own = lambda i, n: [f"w{i}x{k}" for k in range(n)]
+    texts = [" ".join([*own(f"all{i % 2}", 12), *own(i, 60), *own(f"p{i // 3}", 30)]) for i in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in nearcopies.near_copies(docs).collect()} == set(range(150))
+    assert made == [0, 0]
+    r, base = random.Random(3), own("base", 90)
+    texts += [" ".join(f"y{i}x{k}" if k in at else w for k, w in enumerate(base[: r.randint(70, 90)])) for i in range(80) for at in [r.sample(range(90), r.randint(0, 4))]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert sorted({r.component_id for r in nearcopies.near_copies(docs).collect()}) == least_of_groups(docs.collect())
